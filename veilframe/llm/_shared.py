@@ -67,3 +67,34 @@ def words_column(text):
     """The words of a text as an array: empty for null and for texts of white space only."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP))
+
+
+def grouped(df: DataFrame, keys: list[str], fn, schema, partitions: int | None = None) -> DataFrame:
+    """Runs ``fn(key, table)`` on the rows of each key; ``fn`` yields record batches of ``schema``.
+
+    Groups are streamed from partitions sorted by key, many small groups to a task, so a group costs no more than its rows.
+    The caller bounds the groups.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
+            rows = list(zip(*columns))
+            start = 0
+            for i, key in enumerate(rows):
+                if key != at:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    if held:
+                        yield from fn(at, pa.Table.from_batches(held))
+                    held, at, start = [], key, i
+            held.append(batch.slice(start))
+        if held:
+            yield from fn(at, pa.Table.from_batches(held))
+
+    dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
