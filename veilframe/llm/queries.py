@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.suffix import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.quality_rules import apply_policy, ledger
 
@@ -34,10 +40,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_suffix": op2_suffix,
     "op3_quality_rules": op3_quality_rules,
     "op7_pieces": op7_pieces,
     "op9_mixing": op9_mixing,
+    "op10_minhash": op10_minhash,
 }
 
 #: White space as a DuckDB character class.
