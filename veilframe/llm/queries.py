@@ -34,6 +34,12 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.mixing import mix
 
@@ -50,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op2_suffix": op2_suffix,
     "op3_quality_rules": op3_quality_rules,
     "op7_pieces": op7_pieces,
+    "op8_importance": op8_importance,
     "op9_mixing": op9_mixing,
     "op10_minhash": op10_minhash,
 }
