@@ -26,6 +26,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(_table(spark, sf_dir, "documents"))).select(*columns)
 
 
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.extraction import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +61,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_suffix": op2_suffix,
     "op3_quality_rules": op3_quality_rules,
+    "op5_extraction": op5_extraction,
     "op7_pieces": op7_pieces,
     "op8_importance": op8_importance,
     "op9_mixing": op9_mixing,
