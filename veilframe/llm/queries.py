@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.archives import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.suffix import remove_repeats
 
@@ -26,6 +32,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(_table(spark, sf_dir, "documents"))).select(*columns)
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.extraction import extract_main_text
 
@@ -59,8 +71,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_archives": op1_archives,
     "op2_suffix": op2_suffix,
     "op3_quality_rules": op3_quality_rules,
+    "op4_vectors": op4_vectors,
     "op5_extraction": op5_extraction,
     "op7_pieces": op7_pieces,
     "op8_importance": op8_importance,
@@ -72,6 +86,22 @@ QUERIES: dict[str, Query] = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_archives": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS last FROM p),
+v AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, CAST(5 * i + 1 AS INT), 5) AS BIGINT)) AS fives FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((fives[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to
+FROM v""",
+    "op4_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+walk(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, w.root FROM walk w JOIN links l ON l.a = w.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM walk GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.vec_id""",
     "op3_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 pos AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2),
