@@ -1,14 +1,73 @@
-"""The corpus pipeline: stages of training-data operators, each reading what the one before it kept."""
+"""The corpus pipeline: five training-data operators, each reading what the one before it kept.
+
+Every stage takes (spark, docs, sf_dir), works on all of docs and returns a DataFrame that is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilframe.llm._shared import shared_dir
+from veilframe.llm.importance import resample
+from veilframe.llm.minhash import near_duplicates
+from veilframe.llm.mixing import mixed_documents
+from veilframe.llm.pieces import encode_documents
+from veilframe.llm.suffix import remove_repeats
+
+
+def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs whose id is kept; null ids match null."""
+    ids = decided.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling rejects go."""
+    return _only(docs, resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays; of rows that repeat an id, one."""
+    # A null id is no id: such rows are told apart by nothing and all stay.
+    known = _only(docs.filter("doc_id is not null"), near_duplicates(docs)).dropDuplicates(["doc_id"])
+    return known.unionByName(docs.filter("doc_id is null"))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated strings are cut out of the texts; every document stays, n_chars is counted again."""
+    cut = remove_repeats(docs, full=True).select(F.col("doc_id").alias("_id"), "kept_text")
+    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
+    joined = cut.join(rest, F.col("_id").eqNullSafe(F.col("doc_id"))).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
+    return joined.select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it; repeats are rows."""
+    return mixed_documents(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    import public_tokenizers
+
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("mixing", mixing), ("pieces", pieces)]
+
+#: Sketches, suffixes and pieces are not expressible in SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
+    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
