@@ -44,6 +44,12 @@ def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_vectors": op4_vectors,
     "op5_extraction": op5_extraction,
+    "op6_licenses": op6_licenses,
     "op7_pieces": op7_pieces,
     "op8_importance": op8_importance,
     "op9_mixing": op9_mixing,
