@@ -1,4 +1,518 @@
-"""The queries of the engine and their SQL."""
+"""The queries of the engine over the test tables, and the SQL that DuckDB checks them with.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Identifiers that the tables do not hold are derived from keys of customers, parts and orders, by the same SQL on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veilframe.functions import spans, values
+from veilframe.functions.checks import luhn, verhoeff
+from veilframe.operators import anonymize, context, known, names
+from veilframe.operators.detect import detect, exploded
+from veilframe.operators.patterns import ALL_TYPES, ALLOW_LISTS, CARD
+from veilframe.plans import reports
+from veilframe.sources import blocks as src
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Derived identifiers and texts, one per customer: SQL that both engines run alike.
+SYNTH = """
+SELECT c_custkey AS k,
+  concat(chr(CAST(65 + c_custkey % 26 AS INT)), chr(CAST(65 + CAST(floor(c_custkey / 26) AS BIGINT) % 26 AS INT)), 'X', substring('PCHFATBLJG', CAST(1 + c_custkey % 10 AS INT), 1),
+    chr(CAST(65 + c_custkey % 19 AS INT)), lpad(CAST(c_custkey * 37 % 10000 AS {string}), 4, '0'), chr(CAST(65 + c_custkey % 23 AS INT))) AS pan,
+  concat(CAST(6 + c_custkey % 4 AS {string}), lpad(CAST(c_custkey * 7919 % 1000000000 AS {string}), 9, '0')) AS mobile,
+  lpad(CAST((c_custkey * 104729 + 234567890123) % 1000000000000 AS {string}), 12, '0') AS digits12,
+  concat(substring('HDFCSBINICICUTIB', CAST(1 + 4 * (c_custkey % 4) AS INT), 4), '0', lpad(CAST(c_custkey % 1000000 AS {string}), 6, '0')) AS ifsc,
+  concat('user', CAST(c_custkey AS {string}), '@example.com') AS email
+FROM {customer}"""
+SYNTH_TEXT = """
+SELECT k, pan, mobile, digits12, ifsc, email, CASE k % 8
+  WHEN 0 THEN concat('Customer quoted PAN ', pan, ' for the loan.') WHEN 1 THEN concat('Call mobile ', mobile, ' today.')
+  WHEN 2 THEN concat('Transfer from account ', digits12, ' today.') WHEN 3 THEN concat('Reference ', digits12, ' noted.')
+  WHEN 4 THEN concat('Branch code ', ifsc, '.') WHEN 5 THEN concat('Write to ', email, ' please.')
+  WHEN 6 THEN concat('UPI/', mobile, '/ref and salary 12,50,000.') ELSE concat('PAN ', pan, ' and ', email, ' again.') END AS text
+FROM synth"""
+
+
+def synth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = SYNTH.format(string="STRING", customer="{customer}")
+    return spark.sql(f"WITH synth AS ({made}) {SYNTH_TEXT}", customer=table(spark, sf_dir, "customer"))
+
+
+_SYNTH = f"synth AS ({SYNTH.format(string='VARCHAR', customer='customer')}), texts AS ({SYNTH_TEXT})"
+_D = "'0123456789123406789523401789563401289567401239567859876043216598710432765982104387659321049876543210'"
+_P = "'01234567891576283094580379614289160435279453126870428657390127938064157046913258'"
+
+
+def _verhoeff(column: str) -> str:
+    """SQL for the Verhoeff check of a string of digits."""
+    digits = f"list_transform(range(0, length({column})), lambda i: [i % 8, CAST(substr({column}, CAST(length({column}) - i AS INT), 1) AS BIGINT)])"
+    step = f"CAST(substr({_D}, CAST(a[1] * 10 + CAST(substr({_P}, CAST(x[1] * 10 + x[2] + 1 AS INT), 1) AS BIGINT) + 1 AS INT), 1) AS BIGINT)"
+    return f"list_reduce({digits}, lambda a, x: [{step}], [CAST(0 AS BIGINT)])[1] = 0"
+
+
+def _luhn(column: str) -> str:
+    """SQL for the Luhn check of a string of digits."""
+    d = f"CAST(substr({column}, CAST(length({column}) - i AS INT), 1) AS BIGINT)"
+    return f"list_sum(list_transform(range(0, length({column})), lambda i: CASE WHEN i % 2 = 0 THEN {d} WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END)) % 10 = 0"
+
+
+def _suffix(n: str) -> str:
+    """SQL for the letters of an ordinal up to 18278."""
+    c = lambda e: f"chr(CAST(65 + ({e}) % 26 AS INT))"
+    return f"CASE WHEN {n} <= 26 THEN {c(f'{n} - 1')} WHEN {n} <= 702 THEN concat({c(f'({n} - 27) // 26')}, {c(f'{n} - 27')}) ELSE concat({c(f'({n} - 703) // 676')}, {c(f'({n} - 703) // 26')}, {c(f'{n} - 703')}) END"
+
+
+_EMAIL = r"[\p{L}\p{M}\p{N}_.+-]+@[\p{L}\p{M}\p{N}_-]+(?:\.[\p{L}\p{M}\p{N}_-]+)+"
+_CARDS = "list_filter(regexp_extract_all(text, '[0-9]+'), lambda c: length(c) BETWEEN 13 AND 19)"
+# What detection finds in the derived texts.
+_FOUND = f"""
+found AS (
+  SELECT k, 'IN_PAN' AS entity_type, pan AS value, CAST(0.85 AS DOUBLE) AS score FROM texts WHERE k % 8 IN (0, 7)
+  UNION ALL SELECT k, 'PHONE_NUMBER', mobile, CAST({{phone}} AS DOUBLE) FROM texts WHERE k % 8 = 1
+  UNION ALL SELECT k, CASE WHEN {_verhoeff("digits12")} THEN 'IN_AADHAAR' ELSE 'BANK_ACCOUNT_NUMBER' END, digits12, CASE WHEN {_verhoeff("digits12")} THEN 1.0 ELSE 0.5 END FROM texts WHERE k % 8 = 2
+  UNION ALL SELECT k, 'IN_AADHAAR', digits12, 1.0 FROM texts WHERE k % 8 = 3 AND {_verhoeff("digits12")}
+  UNION ALL SELECT k, 'IFSC', ifsc, 1.0 FROM texts WHERE k % 8 = 4
+  UNION ALL SELECT k, 'EMAIL_ADDRESS', email, 1.0 FROM texts WHERE k % 8 IN (5, 7))"""
+_FOUND_DOC = _FOUND.format(phone="0.75")
+
+
+# --- detection
+
+
+@query(
+    rf"""
+WITH e AS (SELECT lang, 'EMAIL_ADDRESS' AS entity_type, len(regexp_extract_all(text, '{_EMAIL}')) AS n FROM documents),
+c AS (SELECT lang, 'CREDIT_CARD' AS entity_type, len(list_filter({_CARDS}, lambda c: {_luhn("c")})) AS n FROM documents)
+SELECT lang, entity_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM c) GROUP BY ALL HAVING sum(n) > 0"""
+)
+def redaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses and card numbers that redaction would mask, by language."""
+    found = detect(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), types=["EMAIL_ADDRESS", "CREDIT_CARD"])
+    return found.select("lang", F.explode("findings.entity_type").alias("entity_type")).groupBy("lang", "entity_type").agg(F.count("*").alias("n"))
+
+
+@query(rf"SELECT doc_id, regexp_replace(text, '{_EMAIL}', '<EMAIL_ADDRESS>', 'g') AS redacted FROM documents WHERE regexp_matches(text, '{_EMAIL}')")
+def email_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.col("text").rlike("@"))
+    return anonymize.redact(detect(docs, types=["EMAIL_ADDRESS"])).filter(F.size("findings") > 0).select("doc_id", "redacted")
+
+
+@query(f"SELECT doc_id, CAST(len(list_filter({_CARDS}, lambda c: {_luhn('c')})) AS BIGINT) AS n_cards FROM documents WHERE len({_CARDS}) > 0")
+def card_luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = spans.match_spans(F.col("text"), r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])")
+    runs = docs.select("doc_id", "text", F.explode(runs).alias("x"))
+    return runs.groupBy("doc_id").agg(F.count_if(luhn(spans.covered(F.col("text"), F.col("x")))).alias("n_cards"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+'), lambda w: regexp_full_match(w, '[0-9]{9,18}')) AS runs FROM documents)
+SELECT doc_id, CAST(len(runs) AS BIGINT) AS n_runs, CAST(list_sum(list_transform(runs, lambda r: length(r))) AS BIGINT) AS n_digits, list_min(runs) AS first_run FROM t WHERE len(runs) > 0""")
+def digit_run_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.explode(spans.match_spans(F.col("text"), r"(?U)(?<!\w)[0-9]{9,18}(?!\w)")).alias("x"))
+    rows = rows.select("doc_id", spans.covered(F.col("text"), F.col("x")).alias("run"), (F.col("x.e") - F.col("x.s")).alias("n"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.sum("n").alias("n_digits"), F.min("run").alias("first_run"))
+
+
+@query(rf"""SELECT page_id, CAST(len(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{_EMAIL}')) AS BIGINT) AS n FROM pages
+WHERE regexp_matches(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{_EMAIL}')""")
+def pages_email_after_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").filter(F.col("html").contains("@")).select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    found = detect(pages, types=["EMAIL_ADDRESS"]).select("page_id", F.size("findings").cast("long").alias("n"))
+    return found.filter("n > 0")
+
+
+@query(f"WITH {_SYNTH}, {_FOUND_DOC} SELECT k, entity_type, value, round(score, 4) AS score FROM found")
+def detect_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recognizer of the generic allow-list over derived texts."""
+    return exploded(detect(synth(spark, sf_dir).select("k", "text")), "k").select("k", "entity_type", "value", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_SYNTH}, {_FOUND.format(phone='0.95')} SELECT k, entity_type, value, round(score, 4) AS score FROM found WHERE entity_type = 'PHONE_NUMBER'")
+def mobile_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mobiles of the chat allow-list, which are reported as phone numbers."""
+    found = detect(synth(spark, sf_dir).select("k", "text"), types=["IN_MOBILE", "PHONE_NUMBER"])
+    return exploded(found, "k").select("k", "entity_type", "value", F.round("score", 4).alias("score"))
+
+
+@query(f"SELECT o_orderkey AS k, {_verhoeff('d')} AS valid FROM (SELECT o_orderkey, lpad(CAST((o_orderkey * 104729 + 234567890123) % 1000000000000 AS VARCHAR), 12, '0') AS d FROM orders)")
+def aadhaar_verhoeff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.lpad(((F.col("o_orderkey") * 104729 + 234567890123) % 1000000000000).cast("string"), 12, "0")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), verhoeff(digits).alias("valid"))
+
+
+@query(f"WITH {_SYNTH} SELECT k, CAST(CASE k % 8 WHEN 2 THEN 0.5 ELSE 0.15 END AS DOUBLE) AS score FROM texts WHERE k % 8 IN (2, 3)")
+def account_context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = synth(spark, sf_dir).filter("k % 8 IN (2, 3)").select("k", "text")
+    return exploded(detect(texts, types=["BANK_ACCOUNT_NUMBER"], threshold=0.0), "k").select("k", F.round("score", 4).alias("score"))
+
+
+def _shape(name: str, entity_type: str, text: str, sql_text: str, expected: str, source: str = "customer", key: str = "c_custkey") -> None:
+    """A query of one recognizer over a text built from a key; ``expected`` is SQL for whether it is found."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = table(spark, sf_dir, source).select(F.col(key).alias("k")).select("k", F.expr(text).alias("text"))
+        return exploded(detect(texts, types=[entity_type]), "k").select("k", "value")
+
+    run.__name__ = name
+    query(f"SELECT k, value FROM (SELECT {key} AS k, {sql_text} AS value FROM {source}) WHERE {expected}")(run)
+
+
+_n = lambda digits, mult: f"lpad(cast(k * {mult} % {10**digits} as string), {digits}, '0')"
+_m = lambda digits, mult, key="c_custkey": f"lpad(CAST({key} * {mult} % {10**digits} AS VARCHAR), {digits}, '0')"
+_shape("synth_tan", "TAN", f"concat('TAN ', 'ABCD', {_n(5, 7919)}, 'E here')", f"concat('ABCD', {_m(5, 7919)}, 'E')", "true")
+_shape("synth_cin", "CIN", f"concat('Company L', {_n(5, 7919)}, 'MH2004PLC', {_n(6, 104729)}, ' filed')", f"concat('L', {_m(5, 7919)}, 'MH2004PLC', {_m(6, 104729)})", "true")
+_shape("synth_ais", "AIS_DOWNLOAD_ID", f"concat('Downloaded as ABCDE1234F2025', {_n(2, 1)}, '15', {_n(2, 3)}, '30 .')", f"concat('ABCDE1234F2025', {_m(2, 1)}, '15', {_m(2, 3)}, '30')", "k % 100 BETWEEN 1 AND 12 AND k * 3 % 100 < 24")
+_shape("synth_passport_ctx", "IN_PASSPORT", f"concat(CASE WHEN k % 2 = 0 THEN 'passport number M' ELSE 'my ID M' END, {_n(7, 7919)}, '.')", f"concat('M', {_m(7, 7919)})", "k % 2 = 0")
+_shape("synth_birth_date", "IN_DATE_OF_BIRTH", "concat(CASE k % 3 WHEN 0 THEN 'DOB: ' WHEN 1 THEN 'Born on ' ELSE 'Transaction date: ' END, lpad(cast(1 + k % 28 as string), 2, '0'), '/08/1990')", "concat(lpad(CAST(1 + c_custkey % 28 AS VARCHAR), 2, '0'), '/08/1990')", "k % 3 < 2")
+_shape("synth_pin_address", "IN_ADDRESS", f"concat('Please courier it to 12 MG Road, Indiranagar, Bengaluru 56', {_n(4, 7)}, ' soon')", f"concat('12 MG Road, Indiranagar, Bengaluru 56', {_m(4, 7)})", "true")
+_shape("synth_labelled_address", "IN_ADDRESS", f"concat(CASE WHEN k % 2 = 0 THEN 'Address: ' ELSE 'Email address: ' END, '12', {_n(3, 7)}, ' Test Road, Pune')", f"concat('12', {_m(3, 7)}, ' Test Road, Pune')", "k % 2 = 0")
+_shape("synth_titled_name", "PERSON", "concat(CASE k % 3 WHEN 0 THEN 'MR. ' WHEN 1 THEN 'Smt ' ELSE 'DR ' END, 'R ', CASE WHEN k % 2 = 0 THEN 'RAJESH KUMAR' ELSE 'Lakshmi Devi' END, ' SAVINGS ACCOUNT')", "CASE WHEN c_custkey % 2 = 0 THEN 'R RAJESH KUMAR' ELSE 'R Lakshmi Devi' END", "k % 3 < 2")
+_shape("synth_gstin", "IN_GSTIN", f"concat('GSTIN 27ABCDE', {_n(4, 7919)}, 'F1Z5 given')", f"concat('27ABCDE', {_m(4, 7919)}, 'F1Z5')", "true")
+_shape("synth_voter", "IN_VOTER", f"concat(CASE WHEN k % 2 = 0 THEN 'voter card ABC' ELSE 'serial ABC' END, {_n(7, 7919)}, '.')", f"concat('ABC', {_m(7, 7919)})", "k % 2 = 0")
+_shape("synth_upi", "UPI_ID", f"concat(CASE WHEN k % 2 = 0 THEN 'upi ' ELSE 'see ' END, 'user', {_n(5, 1)}, '@okbank now')", f"concat('user', {_m(5, 1)}, '@okbank')", "k % 2 = 0")
+_shape("synth_vehicle", "IN_VEHICLE_REGISTRATION", f"concat('vehicle MH12AB', {_n(4, 7919)}, ' parked')", f"concat('MH12AB', {_m(4, 7919)})", "true")
+
+
+# --- values and codes
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 3 THEN concat('+1(555)', lpad(CAST(c_custkey % 10000000 AS VARCHAR), 7, '0')) ELSE concat('98', lpad(CAST(c_custkey % 100000000 AS VARCHAR), 8, '0')) END AS phone,
+  concat('CUSTOMER ', lpad(CAST(c_custkey AS VARCHAR), 9, '0')) AS person, concat('AB12', CAST(c_custkey AS VARCHAR)) AS other FROM customer""")
+def normalize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS k",
+        "CASE c_custkey % 4 WHEN 0 THEN concat('+91 98', lpad(cast(c_custkey % 100000000 as string), 8, '0')) WHEN 1 THEN concat('098-', lpad(cast(c_custkey % 100000000 as string), 8, '0')) "
+        "WHEN 2 THEN concat('98', lpad(cast(c_custkey % 100000000 as string), 8, '0')) ELSE concat('+1 (555) ', lpad(cast(c_custkey % 10000000 as string), 7, '0')) END AS phone",
+        "concat('  Customer   ', lpad(cast(c_custkey as string), 9, '0'), ' ') AS person", "concat('ab-12 ', cast(c_custkey as string)) AS other",
+    )
+    return rows.select("k", *[values.normalize_value(F.lit(t), F.col(c)).alias(c) for c, t in (("phone", "PHONE_NUMBER"), ("person", "PERSON"), ("other", "IN_PAN"))])
+
+
+@query(f"SELECT p_partkey AS k, {_suffix('p_partkey')} AS letters FROM part WHERE p_partkey BETWEEN 1 AND 18278")
+def letter_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").filter("p_partkey BETWEEN 1 AND 18278").select(F.col("p_partkey").alias("k"), values.letter_suffix(F.col("p_partkey")).alias("letters"))
+
+
+def _empty(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([], anonymize.MAPPING), spark.createDataFrame([], "entity_type string, last_ordinal long")
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Derived texts with findings, and the mapping that a first batch of them makes."""
+    found = detect(synth(spark, sf_dir).select("k", "text"), types=["IN_PAN", "EMAIL_ADDRESS", "IFSC"], backend="arrow")
+    return found, anonymize.issue_codes(anonymize.sightings(found, ["k"]), *_empty(spark))[0]
+
+
+_CODES = f"""
+WITH {_SYNTH}, {_FOUND_DOC}, used AS (SELECT * FROM found WHERE entity_type IN ('IN_PAN', 'EMAIL_ADDRESS', 'IFSC')),
+firsts AS (SELECT entity_type, upper(value) AS value, min(value) AS display, min(k) AS k FROM used GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY k) AS ordinal FROM firsts),
+codes AS (SELECT entity_type, value, display, CAST(ordinal AS BIGINT) AS ordinal, concat(entity_type, '_', {_suffix('ordinal')}) AS code FROM n)"""
+
+
+@query(f"{_CODES} SELECT entity_type, value, display, code, ordinal FROM codes")
+def code_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coded(spark, sf_dir)[1]
+
+
+@query(f"""{_CODES}, p AS (SELECT t.k, list({{'v': u.value, 'c': c.code}}) AS r FROM texts t JOIN used u ON u.k = t.k JOIN codes c ON c.entity_type = u.entity_type AND c.value = upper(u.value) GROUP BY t.k)
+SELECT t.k, CASE WHEN r IS NULL THEN text ELSE list_reduce(list_transform(r, lambda x: [x.v, x.c]), lambda a, x: [replace(a[1], x[1], x[2])], [text])[1] END AS text FROM texts t LEFT JOIN p ON p.k = t.k""")
+def pseudonymize_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, mapping = _coded(spark, sf_dir)
+    return anonymize.pseudonymize(found, mapping, "k").select("k", F.col("pseudonymized").alias("text"))
+
+
+@query(f"WITH {_SYNTH} SELECT k, text FROM texts")
+def reverse_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudonymized texts reversed: the texts there were."""
+    found, mapping = _coded(spark, sf_dir)
+    out = anonymize.pseudonymize(found, mapping, "k").select("k", F.col("pseudonymized").alias("text"))
+    return anonymize.reverse(out, mapping, "k").select("k", F.col("reversed").alias("text"))
+
+
+@query(f"{_CODES} SELECT count(*) AS n_texts, CAST(0 AS BIGINT) AS n_findings FROM texts")
+def redacted_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second pass finds in pseudonymized texts outside the codes of the first: nothing."""
+    found, mapping = _coded(spark, sf_dir)
+    out = anonymize.pseudonymize(found, mapping, "k").select("k", F.col("pseudonymized").alias("text"))
+    again = anonymize.without_codes(detect(out, types=["IN_PAN", "EMAIL_ADDRESS", "IFSC"], backend="arrow"), mapping, "k")
+    return again.agg(F.count("*").alias("n_texts"), F.coalesce(F.sum(F.size("findings")), F.lit(0)).cast("long").alias("n_findings"))
+
+
+@query("SELECT n_nationkey AS k, concat('Name ', CAST(n_nationkey AS VARCHAR)) AS display FROM nation")
+def display_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value first seen in capitals takes its first form in mixed case, whether that came with the batch or later."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    name = F.concat(F.lit("Name "), F.col("k").cast("string"))
+    forms = nations.select(F.explode(F.array(F.struct((F.col("k") * 10).alias("at"), F.when(F.col("k") % 2 == 0, F.upper(name)).otherwise(name).alias("form")), F.struct((F.col("k") * 10 + 1).alias("at"), F.when(F.col("k") % 2 == 0, name).otherwise(F.upper(name)).alias("form")))).alias("f")).select("f.*")
+    seen = forms.select(F.struct("at").alias("place"), F.lit("PERSON").alias("entity_type"), values.normalize_value(F.lit("PERSON"), F.col("form")).alias("value"), F.col("form").alias("display"))
+    after, _ = anonymize.issue_codes(seen, *_empty(spark))
+    return after.select((F.regexp_extract("value", r"(\d+)", 1)).cast("int").alias("k"), "display")
+
+
+@query(f"""SELECT n_nationkey + 1 AS ordinal, concat('PERSON_', {_suffix('(n_nationkey + 1)')}) AS code FROM nation WHERE n_nationkey >= 5
+UNION ALL SELECT n_nationkey + 26, concat('PERSON_', {_suffix('(n_nationkey + 26)')}) FROM nation WHERE n_nationkey < 5""")
+def forget_and_reissue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five codes forgotten, their values seen again: they get new ordinals, never the old ones."""
+    seen = table(spark, sf_dir, "nation").select(F.struct("n_nationkey").alias("place"), F.lit("PERSON").alias("entity_type"), F.upper("n_name").alias("value"), F.col("n_name").alias("display"))
+    mapping, counters = anonymize.issue_codes(seen, *_empty(spark))
+    left = anonymize.forget(mapping, mapping.filter("ordinal <= 5").select("code"))
+    after, _ = anonymize.issue_codes(seen, left, counters)
+    return after.select(F.col("ordinal").cast("int").alias("ordinal"), "code")
+
+
+# --- known values
+
+
+@query("""WITH d AS (SELECT s_suppkey AS k, concat('Supplier', chr(CAST(65 + s_suppkey % 26 AS INT)), ' Zanzibar') AS name FROM supplier)
+SELECT k, 8 AS s, CAST(8 + length(name) AS INT) AS e FROM d""")
+def known_name_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a dictionary in any case, as whole words with blanks between."""
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k", "concat('Supplier', chr(cast(65 + s_suppkey % 26 as int)), ' Zanzibar') AS name")
+    entries = known.dictionary(rows.select(F.lit("PERSON").alias("entity_type"), F.col("name").alias("value")))
+    texts = rows.select("k", F.concat(F.lit("We saw ("), F.when(F.col("k") % 2 == 0, F.upper("name")).otherwise(F.lower("name")), F.lit(")'s notes, not XSuppliera Zanzibar or Suppliera, Zanzibar.")).alias("text"))
+    return known.sweep_names(texts, entries, "k").select("k", "s", "e")
+
+
+@query(f"WITH {_SYNTH} SELECT k, CASE WHEN k % 2 = 0 THEN 'PHONE_NUMBER' ELSE 'IN_PAN' END AS entity_type, 4 AS s, CASE WHEN k % 2 = 0 THEN 18 ELSE 14 END AS e FROM texts")
+def known_id_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a dictionary in other spellings, without any context."""
+    base = synth(spark, sf_dir)
+    kind = F.when(F.col("k") % 2 == 0, "PHONE_NUMBER").otherwise("IN_PAN")
+    entries = known.dictionary(base.select(kind.alias("entity_type"), F.when(F.col("k") % 2 == 0, F.col("mobile")).otherwise(F.col("pan")).alias("value")))
+    spelled = F.when(F.col("k") % 2 == 0, F.concat(F.lit("+91-"), F.col("mobile"))).otherwise(F.lower("pan"))
+    texts = base.select("k", F.concat(F.lit("see "), spelled, F.lit(", ok")).alias("text"))
+    return known.sweep_ids(texts, entries, "k").select("k", "entity_type", "s", "e")
+
+
+@query("SELECT * FROM (VALUES (0, 'PERSON', 4, 12), (1, 'PERSON', 0, 17), (2, 'PERSON', 0, 17), (3, 'PERSON', 0, 17), (4, 'PHONE_NUMBER', 3, 13), (5, 'IN_ADDRESS', 0, 30)) t(k, entity_type, s, e)")
+def known_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ways a known match meets a finding: added, widening, covered, united, retyping, dropped."""
+    f = lambda t, s, e: f"named_struct('entity_type', '{t}', 's', {s}, 'e', {e}, 'score', 0.85D)"
+    cases = [("", f("PERSON", 4, 12)), (f("PERSON", 8, 17), f("PERSON", 0, 17)), (f("PERSON", 0, 17), f("PERSON", 0, 10)), (f("PERSON", 5, 17), f("PERSON", 0, 10)), (f("BANK_ACCOUNT_NUMBER", 3, 13), f("PHONE_NUMBER", 3, 13)), (f("IN_ADDRESS", 0, 30), f("PERSON", 20, 40))]
+    rows = " UNION ALL ".join(f"SELECT {k} AS k, cast(array({a}) as {spans.FINDINGS}) AS a, array({b}) AS b" for k, (a, b) in enumerate(cases))
+    merged = spark.sql(rows).select("k", F.explode(known.merge_known(F.col("a"), F.col("b"))).alias("f"))
+    return merged.select("k", "f.entity_type", "f.s", "f.e")
+
+
+@query("""WITH c AS (SELECT conv_id, CAST(min(turn) AS BIGINT) AS first, CAST(max(turn) AS BIGINT) AS last FROM conversations GROUP BY conv_id)
+SELECT conv_id, turn, CASE WHEN turn = first THEN 4 ELSE 0 END AS s FROM c, LATERAL (SELECT unnest([first, last]) AS turn) WHERE first < last""")
+def conversation_local_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name that one message of a conversation gives away by a title is masked in its other messages."""
+    from veilframe.streaming.chat import local_sweep
+
+    w = Window.partitionBy("conv_id")
+    msgs = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.min("turn").over(w).alias("first"), F.max("turn").over(w).alias("last")).filter("first < last and turn in (first, last)")
+    name = F.concat(F.lit("Ravi Kumar"), F.translate((F.col("conv_id") % 100).cast("string"), "0123456789", "abcdefghij"))
+    msgs = msgs.select("conv_id", "turn", F.struct("conv_id", "turn").alias("id"), F.when(F.col("turn") == F.col("first"), F.concat(F.lit("Mr. "), name, F.lit(" here"))).otherwise(F.concat(F.upper(name), F.lit(" wrote again"))).alias("text"))
+    swept = local_sweep(detect(msgs, types=["PERSON"]), "conv_id", "id")
+    return swept.select("conv_id", "turn", F.explode("findings.s").alias("s"))
+
+
+# --- context
+
+
+@query("""
+WITH b AS (SELECT p_partkey // 12 AS doc_id, p_partkey % 12 AS i, concat('t', CAST(p_partkey AS VARCHAR)) AS text, (p_partkey % 12) % 3 AS cx, (p_partkey % 12) // 3 AS cy FROM part)
+SELECT b.doc_id, b.i AS block_index, concat_ws(' | ', l.text, a.text, b.text, r.text, u.text) AS context FROM b
+LEFT JOIN b l ON l.doc_id = b.doc_id AND l.cy = b.cy AND l.cx = b.cx - 1 LEFT JOIN b r ON r.doc_id = b.doc_id AND r.cy = b.cy AND r.cx = b.cx + 1
+LEFT JOIN b a ON a.doc_id = b.doc_id AND a.cx = b.cx AND a.cy = b.cy - 1 LEFT JOIN b u ON u.doc_id = b.doc_id AND u.cx = b.cx AND u.cy = b.cy + 1""")
+def spatial_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks in a grid with their nearest neighbours."""
+    b = table(spark, sf_dir, "part").selectExpr("p_partkey div 12 AS doc_id", "0 AS page", "p_partkey % 12 AS block_index", "concat('t', cast(p_partkey as string)) AS text", "(p_partkey % 12) % 3 AS cx", "cast(floor((p_partkey % 12) / 3) as int) AS cy")
+    b = b.selectExpr("doc_id", "page", "block_index", "text", "cx * 100.0D AS x0", "cx * 100.0D + 80 AS x1", "cy * 20.0D AS y0", "cy * 20.0D + 12 AS y1")
+    return context.page_windows(b).select("doc_id", "block_index", "context")
+
+
+_CELLS = """SELECT p_partkey // 20 AS doc_id, (p_partkey % 20) // 4 AS r, p_partkey % 4 AS c,
+  CASE WHEN p_partkey % 4 = 1 OR (p_partkey % 20) // 4 = 0 THEN concat('field_', chr(CAST(97 + p_partkey % 26 AS INT))) ELSE concat('v', CAST(p_partkey AS VARCHAR)) END AS text FROM part WHERE p_partkey % 7 <> 0"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").filter("p_partkey % 7 <> 0").selectExpr(
+        "p_partkey div 20 AS doc_id", "cast(floor((p_partkey % 20) / 4) as int) AS row", "cast(p_partkey % 4 as int) AS col",
+        "CASE WHEN p_partkey % 4 = 1 OR floor((p_partkey % 20) / 4) = 0 THEN concat('field_', chr(cast(97 + p_partkey % 26 as int))) ELSE concat('v', cast(p_partkey as string)) END AS text",
+    )
+
+
+@query(f"""WITH cells AS ({_CELLS}), l AS (SELECT *, lag(c) OVER w AS lc, lag(text) OVER w AS lt FROM cells WINDOW w AS (PARTITION BY doc_id, r ORDER BY c))
+SELECT doc_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, concat_ws(' | ', concat('head ', CAST(c AS VARCHAR)), CASE WHEN lc = c - 1 AND NOT regexp_matches(lt, '[0-9]') THEN replace(lt, '_', ' ') END) AS label FROM l""")
+def csv_left_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir).withColumn("header", F.concat(F.lit("head_"), F.col("col").cast("string")))
+    return context.table_labels(cells).select("doc_id", "row", "col", "label")
+
+
+@query(f"""WITH cells AS ({_CELLS}), x AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[0-9]') THEN text END AS lab FROM cells),
+l AS (SELECT *, last_value(lab IGNORE NULLS) OVER (PARTITION BY doc_id, c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up, lag(c) OVER w AS lc, lag(lab) OVER w AS lt FROM x WINDOW w AS (PARTITION BY doc_id, r ORDER BY c))
+SELECT doc_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, nullif(concat_ws(' | ', replace(up, '_', ' '), CASE WHEN lc = c - 1 THEN replace(lt, '_', ' ') END), '') AS label FROM l""")
+def xlsx_label_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of: the nearest label above a cell."""
+    return context.sheet_labels(_cells(spark, sf_dir).withColumn("sheet", F.lit("s"))).select("doc_id", "row", "col", "label")
+
+
+@query("SELECT event_id, 'k' AS key, concat('v', CAST(json_extract(props, '$.k') AS VARCHAR)) AS text FROM events")
+def json_leaf_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String leaves of JSON with the key they stand under."""
+    docs = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"n": 1, "list": [{"k": "v'), F.get_json_object("props", "$.k"), F.lit('"}, " ", null]}')).alias("json"))
+    return src.json_leaves(docs, "event_id").select("event_id", context.leaf_key(F.col("path")).alias("key"), "text")
+
+
+@query("SELECT * FROM (VALUES (0, 0, 10), (0, 20, 30), (1, 0, 12), (2, 0, 10), (3, 5, 9), (3, 0, 4)) t(k, s, e)")
+def merge_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a block alone and with context: added, widened, never shrunk."""
+    f = lambda *xs: "cast(array(" + ",".join(f"named_struct('entity_type', '{t}', 's', {s}, 'e', {e}, 'score', 0.5D)" for t, s, e in xs) + f") as {spans.FINDINGS})"
+    cases = [(f(("A", 0, 10)), f(("A", 20, 30))), (f(("A", 0, 10)), f(("A", 0, 12))), (f(("A", 0, 10)), f(("A", 2, 8))), (f(("A", 5, 9)), f(("B", 0, 4)))]
+    rows = " UNION ALL ".join(f"SELECT {k} AS k, {a} AS a, {b} AS b" for k, (a, b) in enumerate(cases))
+    return spark.sql(rows).select("k", F.explode(context.merge_passes(F.col("a"), F.col("b"))).alias("f")).select("k", "f.s", "f.e")
+
+
+@query("SELECT * FROM (VALUES ('account_number', 'account number', true), ('accountNumber', 'account Number', true), ('A/C No', 'account No', true), ('acct.type', 'account type', true), ('50000.00', '50000 00', false), ('', '', false)) t(name, words, is_label)")
+def label_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("account_number", "accountNumber", "A/C No", "acct.type", "50000.00", "")], "name string")
+    return rows.select("name", values.label_words(F.col("name")).alias("words"), values.looks_like_a_label(F.col("name")).alias("is_label"))
+
+
+# --- names and marks
+
+
+@query("""SELECT * FROM (VALUES ('Ping Ravi Kumar', 'Ravi Kumar'), ('Dear Sir', NULL), ('Priya Kumari', 'Priya Kumari'), ('Mr Ravi Kumar''s', 'Ravi Kumar'), ('(Ravi Kumar)', 'Ravi Kumar'), ('Thanks Ravi Kumar please', 'Ravi Kumar')) t(name, trimmed)""")
+def name_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("Ping Ravi Kumar", "Dear Sir", "Priya Kumari", "Mr Ravi Kumar's", "(Ravi Kumar)", "Thanks Ravi Kumar please")], "name string")
+    return rows.select("name", names.trim_name(F.col("name")).alias("trimmed"))
+
+
+@query("SELECT * FROM (VALUES ('**Ravi** called', '  Ravi   called'), ('user_name', 'user_name'), ('2*3*4 = 24', '2*3*4 = 24'), ('_so_ ~~no~~', ' so    no  ')) t(text, blanked)")
+def emphasis_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("**Ravi** called", "user_name", "2*3*4 = 24", "_so_ ~~no~~")], "text string")
+    return rows.select("text", names.blank_emphasis(F.col("text")).alias("blanked"))
+
+
+# --- tables, sources and reports
+
+
+def _allow_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(d, t) for d, ts in ALLOW_LISTS.items() for t in ts], "doc_type string, entity_type string")
+
+
+_FINDING_ROWS = """SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'bank_statement' ELSE 'generic' END AS doc_type,
+  CASE c_custkey % 5 WHEN 0 THEN 'IN_MOBILE' WHEN 1 THEN 'IN_DATE_OF_BIRTH' WHEN 2 THEN 'IN_PAN' WHEN 3 THEN 'DATE_TIME' ELSE 'IFSC' END AS entity_type FROM {customer}"""
+
+
+@query(f"""SELECT k, entity_type FROM ({_FINDING_ROWS.format(customer='customer')}) WHERE entity_type IN ('IN_PAN', 'IFSC') OR (entity_type = 'IN_MOBILE' AND doc_type = 'chat') OR (entity_type = 'IN_DATE_OF_BIRTH' AND doc_type <> 'bank_statement')""")
+def allowlist_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_FINDING_ROWS, customer=table(spark, sf_dir, "customer"))
+    return rows.join(F.broadcast(_allow_table(spark)), ["doc_type", "entity_type"], "left_semi").select("k", "entity_type")
+
+
+@query("SELECT 'DATE_TIME' AS entity_type")
+def unknown_types_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.sql(_FINDING_ROWS, customer=table(spark, sf_dir, "customer")).select("entity_type").distinct()
+    return asked.join(F.broadcast(spark.createDataFrame([(t,) for t in ALL_TYPES], "entity_type string")), "entity_type", "left_anti")
+
+
+@query("""SELECT o_custkey AS doc_id, o_orderpriority AS entity_type, count(*) AS n, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS n_unredactable,
+  (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT unnest(list(o_orderstatus)) AS p)) AS places FROM orders GROUP BY ALL""")
+def preview_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "o_orderpriority AS entity_type", "o_orderstatus AS place", "o_orderstatus = 'F' AS read_only")
+    return reports.preview(rows)
+
+
+@query("""WITH t AS (SELECT o_custkey AS doc_id, count(*) FILTER (o_orderstatus = 'F') AS bad, count(*) FILTER (o_orderpriority LIKE '1%') AS failed FROM orders GROUP BY ALL) SELECT doc_id, bad = 0 AND failed = 0 AS approved FROM t""")
+def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.selectExpr("o_custkey AS doc_id", "o_orderpriority AS entity_type", "o_orderstatus AS place", "o_orderstatus = 'F' AS read_only")
+    return reports.approved(reports.preview(rows), orders.filter("o_orderpriority LIKE '1%'").selectExpr("o_custkey AS doc_id"))
+
+
+@query("SELECT user_id AS request_id, event_type AS entity_type, count(*) AS n FROM events GROUP BY ALL")
+def request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("request_id"), F.col("event_type").alias("entity_type")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, max(value) FILTER (r = greatest(ceil(n * 0.5), 1)) AS p50, max(value) FILTER (r = greatest(ceil(n * 0.95), 1)) AS p95, max(value) AS max FROM r GROUP BY event_type""")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.nearest_rank(table(spark, sf_dir, "events"), "value", {"p50": 0.5, "p95": 0.95}, "event_type")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, md5(CAST(o_orderkey AS VARCHAR)) AS h FROM orders WHERE o_orderkey % 5 <> 0), m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'published' ELSE 'held' END AS st, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE md5(CAST(o_orderkey AS VARCHAR)) END AS h FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT coalesce(s.id, m.id) AS source_id, CASE WHEN s.id IS NULL THEN 'gone' WHEN m.id IS NULL THEN 'new' WHEN s.h = m.h THEN CASE st WHEN 'published' THEN 'unchanged' ELSE 'held' END ELSE 'changed' END AS state FROM s FULL JOIN m ON s.id = m.id""")
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"))
+    sources = orders.filter("source_id % 5 <> 0").withColumn("content_hash", F.md5(F.col("source_id").cast("string")))
+    manifest = orders.filter("source_id % 7 <> 0").selectExpr("source_id", "CASE WHEN source_id % 2 = 0 THEN 'published' ELSE 'held' END AS status", "CASE WHEN source_id % 3 = 0 THEN 'x' ELSE md5(cast(source_id as string)) END AS source_hash")
+    return reports.manifest_diff(sources, manifest.withColumn("held_source_hash", F.col("source_hash")))
+
+
+@query(r"""WITH p AS (SELECT doc_id, list_filter(string_split_regex(text, '\n[ \t]*\n'), lambda x: regexp_matches(x, '\S')) AS p FROM documents WHERE NOT regexp_matches(text, '\r'))
+SELECT doc_id, CAST(len(p) AS BIGINT) AS n_blocks, CAST(list_sum(list_transform(p, lambda x: length(x))) AS BIGINT) AS n_chars FROM p WHERE len(p) > 0""")
+def paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter(~F.col("text").contains("\r"))
+    return src.paragraphs(docs).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(r"""SELECT n_regionkey AS region, concat('| n_nationkey | n_name |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', CAST(n_nationkey AS VARCHAR), ' | ', n_name, ' |'), chr(10) ORDER BY n_nationkey)) AS markdown FROM nation GROUP BY n_regionkey""")
+def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").withColumn("region", F.col("n_regionkey"))
+    return reports.markdown_table(rows, "region", "n_nationkey", ["n_nationkey", "n_name"])
+
+
+@query("""SELECT l_orderkey AS doc_id, string_agg(concat('w', CAST(l_partkey AS VARCHAR)), ' ' ORDER BY l_linenumber) AS text, min(l_quantity) AS x0, max(l_quantity + 10) AS x1 FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey) GROUP BY l_orderkey""")
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey")
+    words = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(w)).filter("rn = 1").selectExpr("l_orderkey AS doc_id", "l_linenumber AS word_num", "concat('w', cast(l_partkey as string)) AS text", "l_quantity AS left", "10D AS width", "1D AS top", "2D AS height")
+    return src.ocr_lines(words, ("doc_id",)).select("doc_id", "text", "x0", "x1")
+
+
+@query("SELECT o_orderkey AS doc_id, concat('Dear <NAME>, order ', CAST(o_orderkey AS VARCHAR), ' is ', o_orderstatus, '.') AS text FROM orders")
+def splice_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks spliced back into whole texts, each checked against what it replaces."""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Dear Ravi, order "), F.col("o_orderkey").cast("string"), F.lit(" is "), F.col("o_orderstatus"), F.lit(".")).alias("text"))
+    return reports.splice_blocks(docs, docs.selectExpr("doc_id", "5 AS start", "9 AS `end`", "'Ravi' AS old", "'<NAME>' AS text")).select("doc_id", "text")
+
+
+@query("""SELECT p_partkey // 4 AS doc_id, 0 AS "row", string_agg(CASE WHEN p_partkey % 3 = 0 THEN concat('"', p_brand, ', x"') ELSE p_brand END, ',' ORDER BY p_partkey) AS line FROM part GROUP BY 1""")
+def csv_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "part").selectExpr("p_partkey div 4 AS doc_id", "0 AS row", "p_partkey", "CASE WHEN p_partkey % 3 = 0 THEN concat(p_brand, ', x') ELSE p_brand END AS text")
+    col = F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("p_partkey")) - 1
+    return reports.csv_lines(cells.withColumn("col", col))
+
+
+@query("SELECT * FROM (VALUES ('<IN_PAN>', 10, '<IN_PAN>'), ('<BANK_ACCOUNT_NUMBER>', 12, '[REDACTED]'), ('<IN_PAN>', 4, '***'), ('<IN_PAN>', 2, 'X')) t(mark, room, fitted)")
+def replacement_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("<IN_PAN>", 10), ("<BANK_ACCOUNT_NUMBER>", 12), ("<IN_PAN>", 4), ("<IN_PAN>", 2)], "mark string, room int")
+    return rows.select("mark", "room", values.replacement_that_fits(F.col("mark"), F.col("room")).alias("fitted"))
+
+
+@query(rf"""WITH e AS (SELECT lang, source, 'EMAIL_ADDRESS' AS entity_type FROM documents, LATERAL (SELECT unnest(regexp_extract_all(text, '{_EMAIL}')) AS m))
+SELECT lang, source, count(*) AS n FROM e GROUP BY ROLLUP (lang, source)""")
+def findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: findings rolled up by language and source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text").filter(F.col("text").contains("@"))
+    found = detect(docs, types=["EMAIL_ADDRESS"]).select("lang", "source", F.explode("findings").alias("f"))
+    return found.rollup("lang", "source").agg(F.count("*").alias("n"))
