@@ -40,7 +40,7 @@ def issue_codes(seen: DataFrame, mapping: DataFrame, counters: DataFrame) -> tup
     ``seen`` is the result of sightings. Ordinals follow the order of first sight within a type; counters only grow, so a forgotten code
     is never issued again. A value whose display is all capitals takes the first later form in mixed case.
     """
-    mixed = F.when(~is_all_caps(F.col("display")), F.col("display"))
+    mixed = F.when(~is_all_caps(F.col("display")) & (F.col("display") != F.lower("display")), F.col("display"))
     values = seen.groupBy("entity_type", "value").agg(
         F.min("place").alias("place"), F.min_by("display", "place").alias("first"), F.min_by(mixed, F.when(mixed.isNotNull(), F.col("place"))).alias("mixed")
     )

@@ -19,7 +19,7 @@ ID_TYPES = (
     "PHONE_NUMBER IN_PAN EMAIL_ADDRESS CREDIT_CARD IN_GSTIN IN_VOTER IN_VEHICLE_REGISTRATION"
 ).split()
 MIN_ID_CHARS, MIN_NAME_LETTERS = 8, 6
-NAME_WORD = r"(?U)[\p{L}\p{M}][\p{L}\p{M}'\-]*"
+NAME_WORD = r"[\p{L}\p{M}]+"
 ID_RUN = r"(?U)[\w.+@/#*\-]+"
 ID_EDGES = r"[._\-+*#]+"
 
@@ -35,7 +35,7 @@ def dictionary(values: DataFrame) -> DataFrame:
     letters = F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w))
     name = (
         (F.col("entity_type") == NAME_TYPE) & ~F.col("key").rlike(r"\p{Nd}") & (long_words >= 2) & (letters >= MIN_NAME_LETTERS)
-        & ~is_not_a_name_word(F.element_at("words", 1)) & ~is_not_a_name_word(F.element_at("words", -1), leading=False)
+        & ~is_not_a_name_word(F.try_element_at("words", F.lit(1))) & ~is_not_a_name_word(F.try_element_at("words", F.lit(-1)), leading=False)
     )
     ids = F.col("entity_type").isin(ID_TYPES) & (F.length("key") >= MIN_ID_CHARS) & F.col("key").rlike(r"[\p{Nd}@]")
     return rows.filter(name | ids).withColumn("first", F.when(F.col("entity_type") == NAME_TYPE, F.try_element_at("words", F.lit(1)))).withColumn("n", F.size("words"))

@@ -1,6 +1,6 @@
 """The mapping store: versions of the mapping and its counters in a folder, one writer, one commit per batch.
 
-A version is two Parquet tables; ``_CURRENT`` names the one in force and is replaced by a rename, so readers see the old
+A version is two Parquet tables; ``CURRENT`` names the one in force and is replaced by a rename, so readers see the old
 version or the new one. Values and displays can be encrypted with AES-GCM; the key is handed to each use and is not kept.
 """
 
@@ -28,10 +28,10 @@ class MappingStore:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def version(self) -> str | None:
-        p = self._path(f"{self.path}/_CURRENT")
+        p = self._path(f"{self.path}/CURRENT")
         if not self._fs.exists(p):
             return None
-        return self.spark.read.text(f"{self.path}/_CURRENT").first()[0]
+        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
 
     def _crypt(self, df: DataFrame, function: str) -> DataFrame:
         if self._key is None:
@@ -62,13 +62,13 @@ class MappingStore:
         v = f"v-{uuid.uuid4().hex}"
         self._crypt(mapping, "encrypt").write.parquet(f"{self.path}/{v}/mapping")
         counters.write.parquet(f"{self.path}/{v}/counters")
-        lock = self._path(f"{self.path}/_LOCK")
+        lock = self._path(f"{self.path}/LOCK")
         if not self._fs.createNewFile(lock):
             raise RuntimeError("another writer is committing")
         try:
             if self.version() != expected:
                 raise RuntimeError("the mapping changed since it was read")
-            fresh, current = self._path(f"{self.path}/_NEXT"), self._path(f"{self.path}/_CURRENT")
+            fresh, current = self._path(f"{self.path}/NEXT"), self._path(f"{self.path}/CURRENT")
             out = self._fs.create(fresh, True)
             out.write(bytearray(v.encode()))
             out.close()
