@@ -58,7 +58,7 @@ def test_known_values(spark):
     texts = _texts(spark, "ask periwinkle zanzibar", "PERIWINKLE   ZANZIBAR's", "Periwinkle Zanzibaria", "XPeriwinkle Zanzibar", "Periwinkle, Zanzibar", "Ravi")
     assert {(r.k, r.s, r.e) for r in sweep_names(texts, known, "k").collect()} == {(0, 4, 23), (1, 0, 21)}
     texts = _texts(spark, "id abcpe-1234f.", "call +91-98765-43210!", "ABCPE12345F", "xABCPE1234F")
-    assert {(r.k, r.s, r.e, r.entity_type) for r in sweep_ids(texts, known, "k").collect()} == {(0, 3, 14, "IN_PAN"), (1, 5, 20, "PHONE_NUMBER")}
+    assert {(r.k, r.s, r.e, r.entity_type) for r in sweep_ids(texts, known, "k").collect()} == {(0, 3, 14, "IN_PAN"), (1, 6, 20, "PHONE_NUMBER")}
 
 
 def test_names_are_cut_before_digits(spark):

@@ -299,7 +299,7 @@ def known_name_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.sweep_names(texts, entries, "k").select("k", "s", "e")
 
 
-@query(f"WITH {_SYNTH} SELECT k, CASE WHEN k % 2 = 0 THEN 'PHONE_NUMBER' ELSE 'IN_PAN' END AS entity_type, 4 AS s, CASE WHEN k % 2 = 0 THEN 18 ELSE 14 END AS e FROM texts")
+@query(f"WITH {_SYNTH} SELECT k, CASE WHEN k % 2 = 0 THEN 'PHONE_NUMBER' ELSE 'IN_PAN' END AS entity_type, CASE WHEN k % 2 = 0 THEN 5 ELSE 4 END AS s, CASE WHEN k % 2 = 0 THEN 18 ELSE 14 END AS e FROM texts")
 def known_id_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of a dictionary in other spellings, without any context."""
     base = synth(spark, sf_dir)
