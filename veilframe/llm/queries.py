@@ -144,4 +144,15 @@ c AS (SELECT q.doc_id, h, size, (upto + k * ss) / target AS finish FROM q, (SELE
 run AS (SELECT *, sum(size) OVER (ORDER BY finish, h, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM c),
 got AS (SELECT doc_id, sum(size) AS taken FROM run WHERE used <= (SELECT sum(size) FROM d) GROUP BY doc_id)
 SELECT q.doc_id, size, ss AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN got ON q.doc_id = got.doc_id""",
+    "op10_minhash": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM pos),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 75 * (a.n + b.n - shared)),
+walk(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, w.root FROM walk w JOIN links l ON l.x = w.doc_id),
+c AS (SELECT doc_id, min(root) AS component_id FROM walk GROUP BY doc_id)
+SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id""",
 }
