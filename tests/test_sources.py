@@ -84,3 +84,23 @@ def test_a_stream_of_messages(spark, tmp_path):
     redact_stream(stream, store, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(240)
     out = {r.message_id: r.pseudonymized for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert out == {"m1": "I am Mr. PERSON_A", "m2": "PERSON_A wrote, call PHONE_NUMBER_A", "m3": "Ravi Kumar is someone else here"}
+
+
+def test_json_is_written_back(spark):
+    docs = spark.createDataFrame([(1, '{"a": ["x", {"q\\"": "y"}], "n": 5}'), (2, '{\n  "k": "v"\n}'), (3, "[]")], "doc_id int, json string")
+    new = spark.createDataFrame([(1, '$["a"][0]', "X"), (1, '$["a"][1]["q\\""]', "Y"), (2, '$["k"]', "W")], "doc_id int, path string, text string")
+    out = {r.doc_id: r.json for r in reports.json_write(docs, new).collect()}
+    assert out == {1: '{"a": ["X", {"q\\"": "Y"}], "n": 5}', 2: '{\n  "k": "W"\n}', 3: "[]"}
+    with pytest.raises(Exception, match="no string"):
+        reports.json_write(docs, spark.createDataFrame([(1, '$["n"]', "X")], "doc_id int, path string, text string")).collect()
+    with pytest.raises(ValueError):
+        reports.path_steps("$.a")
+
+
+def test_neighbours_lend_their_words(spark):
+    from veilframe.operators.context import detect_on_pages
+
+    rows = [("d", 0, 0, "Date of Birth", 0.0, 0.0, 80.0, 10.0), ("d", 0, 1, "15/08/1990", 100.0, 0.0, 160.0, 10.0), ("d", 0, 2, "16/08/1990", 100.0, 300.0, 160.0, 310.0), ("e", None, 0, "DOB 17/08/1990", None, None, None, None)]
+    blocks = spark.createDataFrame(rows, "doc_id string, page int, block_index int, text string, x0 double, y0 double, x1 double, y1 double")
+    out = {(r.doc_id, r.block_index): [(f.s, f.e) for f in r.findings] for r in detect_on_pages(blocks, types=["IN_DATE_OF_BIRTH"]).collect()}
+    assert out == {("d", 0): [], ("d", 1): [(0, 10)], ("d", 2): [], ("e", 0): [(4, 14)]}

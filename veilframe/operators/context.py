@@ -21,7 +21,8 @@ def overlap_share(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def page_windows(blocks: DataFrame, radius: int = 1) -> DataFrame:
-    """(doc_id, page, block_index, context): a block with its nearest neighbours left and above before it, right and below after it.
+    """(doc_id, page, block_index, context, start): a block with its nearest neighbours left and above before it, right and below after it, and
+    where in that the block itself starts.
 
     ``blocks`` has doc_id, page, block_index, text, x0, y0, x1, y1; blocks without a page or a box stand alone. The self-join is by page,
     which bounds it; a page is never split.
@@ -41,10 +42,29 @@ def page_windows(blocks: DataFrame, radius: int = 1) -> DataFrame:
     near = near.withColumn("rank", rank).filter(F.col("rank") <= radius)
     texts = lambda s, far_first: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct((-F.col("rank") if far_first else F.col("rank")).alias("r"), F.col("o_text").alias("t"))))), lambda x: x["t"])
     around = near.groupBy("doc_id", "page", "block_index").agg(*[texts(s, s in ("left", "above")).alias(s) for s in ("left", "above", "right", "below")])
-    joined = blocks.join(around, ["doc_id", "page", "block_index"], "left")
+    joined = blocks.join(around, ["doc_id", "page", "block_index"], "left").filter("text is not null")
     none = F.array().cast("array<string>")
-    parts = F.concat(F.coalesce("left", none), F.coalesce("above", none), F.array("text"), F.coalesce("right", none), F.coalesce("below", none))
-    return joined.select("doc_id", "page", "block_index", F.array_join(parts, " | ").alias("context"))
+    before = F.concat(F.coalesce("left", none), F.coalesce("above", none))
+    parts = F.concat(before, F.array("text"), F.coalesce("right", none), F.coalesce("below", none))
+    start = F.when(F.size(before) > 0, F.length(F.array_join(before, " | ")) + 3).otherwise(0)
+    return joined.select("doc_id", "page", "block_index", F.array_join(parts, " | ").alias("context"), start.alias("start"))
+
+
+def detect_on_pages(blocks: DataFrame, doc_type: str | None = None, types: list[str] | None = None) -> DataFrame:
+    """Blocks of pages with ``findings``: what a block gives alone, and what its neighbours make of it, cut to the block.
+
+    Cells and leaves need no window: their labels go to ``detect`` as its label column. Plain texts have neither.
+    """
+    from veilframe.functions.spans import FINDINGS, clip
+    from veilframe.operators.detect import detect
+
+    keys = ["doc_id", "page", "block_index"]
+    alone = detect(blocks, "text", doc_type, types, out="_alone")
+    both = detect(page_windows(blocks), "context", doc_type, types, out="_windowed").drop("context")
+    # Blocks without a page join their window by null-safe equality.
+    joined = alone.join(both.select(*[F.col(k).alias(f"_{k}") for k in keys], "start", "_windowed"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    inside = clip(F.col("_windowed"), F.col("start"), F.col("start") + F.length("text")).cast(FINDINGS)
+    return joined.select(*blocks.columns, merge_passes(F.col("_alone"), inside).alias("findings"))
 
 
 def merge_passes(alone: Column, windowed: Column) -> Column:

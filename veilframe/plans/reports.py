@@ -80,6 +80,50 @@ def csv_lines(cells: DataFrame, delimiter: str = ",") -> DataFrame:
     return rows.select("doc_id", "row", line.alias("line"))
 
 
+def path_steps(path: str) -> list[str | int]:
+    """The keys and indexes of a path like $["a"][0]; anything else is an error."""
+    import json
+    import re
+
+    steps = re.findall(r'\[("(?:[^"\\]|\\.)*"|\d+)\]', path)
+    if "$" + "".join(f"[{s}]" for s in steps) != path or not steps:
+        raise ValueError(f"not a path: {path}")
+    return [json.loads(s) for s in steps]
+
+
+def json_write(docs: DataFrame, replacements: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
+    """JSON documents with the leaves (id, path, text) replaced; a target that is missing or no string fails the query. The indent stays."""
+    import json
+    import re
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    changes = replacements.groupBy(id_col).agg(F.collect_list(F.struct("path", "text")).alias("_changes"))
+    joined = docs.select(id_col, json_col).join(changes, id_col, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if edits:
+                    value = json.loads(text)
+                    for edit in edits:
+                        *above, last = path_steps(edit["path"])
+                        at = value
+                        for step in above:
+                            at = at[step]
+                        if not isinstance(at[last], str):
+                            raise ValueError(f"{edit['path']} is no string")
+                        at[last] = edit["text"]
+                    indent = re.search(r"\n( +)\S", text)
+                    text = json.dumps(value, ensure_ascii=False, indent=len(indent[1]) if indent else None)
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[id_col, json_col])
+
+    return joined.mapInArrow(run, docs.select(id_col, json_col).schema)
+
+
 def markdown_table(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """(key, markdown): a table of the columns' texts, pipes and line ends escaped."""
     cell = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
