@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,7 +48,22 @@ class Workspace:
             p.getFileSystem(conf).delete(p, True)
 
 
-def byte_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def lean(step):
+    """A step over Arrow batches that gives its memory back when its partition ends, as the worker lives on for later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that no slice holds more than ``most`` bytes of one string column, single longer rows aside."""
     start, held = 0, 0
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
@@ -97,4 +115,4 @@ def grouped(df: DataFrame, keys: list[str], fn, schema, partitions: int | None =
             yield from fn(at, pa.Table.from_batches(held))
 
     dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
-    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(lean(run), schema)

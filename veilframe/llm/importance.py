@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm._shared import Workspace, byte_slices
+from veilframe.llm._shared import Workspace, byte_slices, lean
 
 BUCKETS = 1 << 16  # for words, and as many for pairs of words
 SAMPLE = 20_000
@@ -143,7 +143,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marked = labels.select(F.col(id_col).alias("label_id"), "quality", "toxic").dropna(subset=["label_id", "quality"]).dropDuplicates(["label_id"])
     chosen = work.put(marked.withColumn("turn", turn).orderBy("turn", "label_id").limit(sample).withColumn("use", F.pmod("turn", F.lit(2)).cast("int")).drop("turn"), "labels")
     with_marks = source.join(F.broadcast(chosen), F.col("id") == F.col("label_id"), "left").select("text", "quality", "toxic", "use")
-    counts = with_marks.mapInArrow(_histograms, "model int, bucket int, n long, texts long").groupBy("model", "bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).toPandas()
+    counts = with_marks.mapInArrow(lean(_histograms), "model int, bucket int, n long, texts long").groupBy("model", "bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).toPandas()
     total, texts = np.zeros((3, 3 * BUCKETS)), np.zeros((3, 3 * BUCKETS))
     total[counts.model, counts.bucket], texts[counts.model, counts.bucket] = counts.n, counts.texts
     fitted = total[TARGET].sum() > 0
@@ -151,7 +151,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     n_good, n_bad = (chosen.filter(f"use = {FIT}").filter(c).count() for c in ("coalesce(toxic, 0) <> 1 and quality = 1", "toxic = 1"))
     odds = (texts[TOXIC] + 0.5) / (n_bad + 1) / ((texts[TARGET] + 0.5) / (n_good + 1))
     marks_toxic = np.where(fitted & (texts[TOXIC] >= max(3, TOXIC_SHARE * n_bad)) & (odds >= TOXIC_RATIO), np.log(odds), 0).astype(np.float32)
-    scored = work.put(source.mapInArrow(_scores(ratio, marks_toxic), f"id {dict(docs.dtypes)[id_col]}, ratio double, toxic double"), "scores")
+    scored = work.put(source.mapInArrow(lean(_scores(ratio, marks_toxic)), f"id {dict(docs.dtypes)[id_col]}, ratio double, toxic double"), "scores")
 
     held = scored.join(F.broadcast(chosen.filter(f"use = {HELD_OUT}")).drop("toxic"), F.col("id") == F.col("label_id")).select("ratio", "quality").dropna().toPandas()
     level = level_between(held.ratio.to_numpy(), held.quality.to_numpy() == 1) if fitted and len(held) else -np.inf

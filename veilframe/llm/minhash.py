@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm._shared import Workspace, byte_slices, grouped
+from veilframe.llm._shared import Workspace, byte_slices, grouped, lean
 from veilframe.llm.components import connected_components
 
 K = 64  # values in a sketch
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    sk = work.put(source.mapInArrow(lambda it: _sketches(it, arrow), schema), "sketch")
+    sk = work.put(source.mapInArrow(lean(lambda it: _sketches(it, arrow)), schema), "sketch")
     linkable = sk.filter("id is not null and n > 0")
     classes = work.put(linkable.groupBy("fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
     reps = linkable.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "post", "sketch")

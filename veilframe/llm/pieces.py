@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veilframe.llm._shared import byte_slices
+from veilframe.llm._shared import byte_slices, lean
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -277,7 +277,7 @@ class PieceModel:
         flush()
         return "".join(out)
 
-    def remember(self, words: set[str], most: int = 250_000) -> None:
+    def remember(self, words: set[str], most: int = 100_000) -> None:
         """Encodes words not yet known; when the store would grow over ``most`` words, only those of this call stay."""
         if len(self.known) > most:
             self.known = {w: self.known[w] for w in words if w in self.known}
@@ -323,5 +323,6 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 if full:
                     columns += [pa.array([[int(i) for i in s.split(",")] if s else [] for s in ids], pa.list_(pa.int32())), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        model.known.clear()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)

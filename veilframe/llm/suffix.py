@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm._shared import Workspace, byte_slices, grouped
+from veilframe.llm._shared import Workspace, byte_slices, grouped, lean
 
 LENGTH = 400
 GRAM = 100
@@ -297,7 +297,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     gram = min(GRAM, max(1, length // 4))
     names = ["id", "anchor", "run", "n", "s", "e"]
-    runs = work.put(source.mapInArrow(lambda it: _runs(it, length, gram, names), ", ".join(f"{c} long" for c in names)), "runs")
+    runs = work.put(source.mapInArrow(lean(lambda it: _runs(it, length, gram, names)), ", ".join(f"{c} long" for c in names)), "runs")
     each = runs.filter("anchor is not null").groupBy("anchor", "run").agg(F.sum("n").alias("n"), F.min(F.struct("id", "s", "e")).alias("rep"))
     each = work.put(each, "each")
     anchors = each.groupBy("anchor").agg(F.count("*").alias("runs")).filter("runs > 1")
@@ -305,10 +305,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = work.put(each.filter("n > 1").select("anchor", "run"), "whole")
     spans = runs.filter("n = 1").join(whole, ["anchor", "run"]).select("id", "s", "e").union(runs.filter("anchor is null").select("id", "s", "e"))
 
-    packed = source.mapInArrow(_pack, "id long, z binary")
+    packed = source.mapInArrow(lean(_pack), "id long, z binary")
     contested = each.join(anchors, "anchor").select("rep.id", F.struct("anchor", (F.col("n") == 1).alias("alone"), "runs", "rep.s", "rep.e").alias("r"))
     contested = work.put(contested.groupBy("id").agg(F.collect_list("r").alias("r")), "contested")
-    pieces = packed.dropna(subset=["id"]).join(contested, "id").dropDuplicates(["id"]).mapInArrow(_cut, "id long, anchor long, alone boolean, runs long, s long, bytes binary")
+    pieces = packed.dropna(subset=["id"]).join(contested, "id").dropDuplicates(["id"]).mapInArrow(lean(_cut), "id long, anchor long, alone boolean, runs long, s long, bytes binary")
     pieces = work.put(pieces, "pieces")
     total = pieces.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
@@ -323,4 +323,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_text = work.put(by_text, "spans")
     work.drop("runs", "each", "whole", "pieces", "contested")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if full else "")
-    return packed.join(by_text, "id", "left").mapInArrow(_finish(full), schema).withColumnRenamed("id", id_col)
+    return packed.join(by_text, "id", "left").mapInArrow(lean(_finish(full)), schema).withColumnRenamed("id", id_col)
