@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from veilframe.llm._shared import Workspace, words_column
 
-#: Rows that one bucket of a source, or one bin of finish times, is meant to hold.
+#: Rows of the whole table for each bucket that a source is cut into; small, so that a source with most rows is cut fine enough to deal out evenly.
+BUCKET_ROWS = 500
+#: Rows that one bin of finish times is meant to hold.
 ROWS_EACH = 8_000
 COPIES = 3
 
@@ -63,7 +65,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     sized = work.put(sized, "sized")
     n = sized.count()
-    buckets = max(16, -(-n // ROWS_EACH))
+    buckets = max(16, -(-n // BUCKET_ROWS))
     sized = sized.withColumn("bucket", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(2**32)).cast("int"))
     sums = work.put(sized.groupBy("sid", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size")), "sums")
     targets = source_targets(sums.groupBy("sid").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size")))
