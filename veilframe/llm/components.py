@@ -1,35 +1,64 @@
 """Connected components of a distributed edge list, by alternating large and small stars.
 
-Every step is a minimum per node (combined before the shuffle) joined back to the edges; both sides of that join are written
+Each partition of edges is first contracted to stars of its own, so rounds only join what partitions share. Every step is a minimum per node (combined before the shuffle) joined back to the edges; both sides of that join are written
 tables, so adaptive execution can split the partition of a node with very many edges. Nothing is gathered on the driver
 but two numbers per round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm._shared import Workspace
 
+EDGES_EACH = 250_000  # of one partition
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars around the smallest id of what the edges (a, b) of one batch connect."""
+    for batch in batches:
+        ends = np.stack([batch.column(k).to_numpy() for k in (0, 1)])
+        ids, at = np.unique(ends, return_inverse=True)
+        a, b = at.reshape(ends.shape)
+        label = np.arange(len(ids))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        leaf = label != np.arange(len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[leaf]), pa.array(ids[label[leaf]])], names=["hi", "lo"])
+
 
 def connected_components(edges: DataFrame, work: Workspace, tag: str, rounds: int = 40) -> DataFrame:
     """(id, component) for the end points of edges (a, b); component is the smallest id of the component.
 
     Loops and repeated edges are allowed. Ids without an edge do not appear.
     """
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    e = work.put(e, f"{tag}-0")
+    kept = edges.filter("a <> b").select("a", "b")
+    parts = max(1, -(-kept.count() // EDGES_EACH))
+    # Few edges take few tasks: coalescing needs no shuffle.
+    put = lambda df, name: work.put(df.coalesce(parts), name)
+    e = put(kept.coalesce(parts).mapInArrow(_contracted, "hi long, lo long").distinct(), f"{tag}-0")
     before, last = None, f"{tag}-0"
     for n in range(rounds):
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = work.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}-l{n}")
+        low = put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}-l{n}")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = work.put(large, f"{tag}-L{n}")
-        low = work.put(large.groupBy("hi").agg(F.min("lo").alias("m")), f"{tag}-s{n}")
+        large = put(large, f"{tag}-L{n}")
+        low = put(large.groupBy("hi").agg(F.min("lo").alias("m")), f"{tag}-s{n}")
         small = large.join(low, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         small = small.union(low.select("hi", F.col("m").alias("lo"))).distinct()
-        e = work.put(small, f"{tag}-{n + 1}")
+        e = put(small, f"{tag}-{n + 1}")
         work.drop(last, f"{tag}-l{n}", f"{tag}-L{n}", f"{tag}-s{n}")
         last = f"{tag}-{n + 1}"
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1_000_003)).first())
