@@ -184,6 +184,24 @@ def test_importance_keeps_good_text(frame):
     assert all(r.kept == (r.doc_id < 300) for r in importance.resample(df, labels.limit(0)).collect())
 
 
+def test_importance_rejects_inflected_toxic_words_of_every_language(frame):
+    rng = random.Random(9)
+    stem, ends = {"de": "dummerl", "fr": "sotard"}, [a + b for a in "aeiou" for b in ("n", "st", "rei", "x")]
+    rows, n = [], 0
+    for lang, toxic in (("en", 80), ("de", 60), ("fr", 60)):
+        for k in range(300 + toxic):
+            words = _words(rng, 60).split()
+            if k >= 300:
+                words[5:8] = [stem[lang] + rng.choice(ends) for _ in range(3)] if lang in stem else ["idiot"] * 3
+            rows.append((n, " ".join(words), lang, int(k >= 300)))
+            n += 1
+    labels = frame([(i, 1, t) for i, _, _, t in rows if i % 2], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in importance.resample(frame([r[:3] for r in rows]), labels).collect()}
+    for lang in ("en", "de", "fr"):
+        assert sum(kept[i] for i, _, g, t in rows if g == lang and t) == 0
+        assert sum(kept[i] for i, _, g, t in rows if g == lang and not t) >= 290
+
+
 def test_kth_largest(spark):
     values = [float(x % 977) for x in range(9000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")

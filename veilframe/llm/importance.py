@@ -5,8 +5,10 @@ give each document a log importance weight: the mean of log p_target / p_raw ove
 a hash of the id is added and the k documents with the largest keys stay. k is the number of documents whose weight is above
 the level that best parts good from bad in a held-out half of the labelled sample.
 
-A third model, of labelled toxic text, marks n-grams that are far more frequent there than in target text; the worst of
-them lowers the weight beyond what noise can make up for.
+Toxic text is told by marks: words, and beginnings of words as inflected words share them, with a lower confidence bound of the
+odds that a labelled text which holds them is toxic, against the odds of the languages it stands in. Evidence of the different words
+of a text adds up, and the level above which a text is toxic is set on the held-out half, per language where it has enough
+toxic texts there. Toxic texts lose more weight than noise can make up for.
 
 Counts of the raw model cover all documents. Only the labelled rows are sampled, at most SAMPLE of them by a hash of their ids.
 """
@@ -14,6 +16,7 @@ Counts of the raw model cover all documents. Only the labelled rows are sampled,
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +30,21 @@ from veilframe.llm._shared import Workspace, byte_slices, lean
 BUCKETS = 1 << 16  # for words, and as many for pairs of words
 SAMPLE = 20_000
 SHARPNESS = 500.0
-TOXIC_SHARE, TOXIC_RATIO = 0.1, 20.0
+#: A mark stands in so many toxic texts at least, and its odds are e ** LEAST_ODDS times as high, at Z standard errors below.
+LEAST_TEXTS, LEAST_ODDS, Z = 3, 1.0, 2.0
+#: Lengths of the beginnings of words.
+STEM, LONGEST_STEM = 4, 12
+#: Toxic and clean held-out texts that a language needs for a level of its own.
+OWN_LEVEL = 10
+HELD_PIECES = 200_000  # counted pieces that a task holds before it passes them on
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-RAW, TARGET, TOXIC = 0, 1, 2
+RAW, TARGET = 0, 1
 #: What the sample is used for: to fit the models, or to set the level.
 FIT, HELD_OUT = 0, 1
 
 
-def ngrams(texts: list[str | None], buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text, lower case: hashed words (below ``buckets``) and pairs of words (above); the words by a second hash."""
+def ngrams(texts: list[str | None], buckets: int = BUCKETS) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+    """Of each text, lower case: hashed words (below ``buckets``) and pairs of words (above); the words by number. All words."""
     ids: dict[str, int] = {}
     split = [TOKEN.findall((t or "").lower()) for t in texts]
     flat = np.fromiter((ids.setdefault(w, len(ids)) for ws in split for w in ws), np.int64, sum(map(len, split)))
@@ -43,35 +52,74 @@ def ngrams(texts: list[str | None], buckets: int = BUCKETS) -> list[tuple[np.nda
     mask = np.uint64(buckets - 1)
     one = (h & mask).astype(np.int32)
     two = (((h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) >> np.uint64(20)) & mask).astype(np.int32) + buckets
-    again = (h >> np.uint64(40) & mask).astype(np.int32)
     out, at = [], 0
     for ws in split:
         n = len(ws)
-        out.append((np.concatenate([one[at : at + n], two[at : at + max(n - 1, 0)]]), again[at : at + n]))
+        out.append((np.concatenate([one[at : at + n], two[at : at + max(n - 1, 0)]]), flat[at : at + n]))
         at += n
-    return out
+    return out, list(ids)
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(model, bucket, n, texts) of one partition; columns in: text, quality, toxic, use."""
-    total = np.zeros((3, 3 * BUCKETS), np.int64)
-    seen = np.zeros((3, 3 * BUCKETS), np.int64)
+    """(model, bucket, n) of one partition; columns in: text, quality, toxic, use."""
+    total = np.zeros((2, 2 * BUCKETS), np.int64)
     with np.errstate(over="ignore"):
         for batch in batches:
             for part in byte_slices(batch, 0):
                 marks = zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))
-                grams = ngrams(part.column(0).to_pylist())
+                grams, _ = ngrams(part.column(0).to_pylist())
                 if grams:
-                    total[RAW] += np.bincount(np.concatenate([g for g, _ in grams]), minlength=3 * BUCKETS)
-                for (g, again), (quality, toxic, use) in zip(grams, marks):
-                    if use == FIT:
-                        model = TOXIC if toxic == 1 else TARGET if quality == 1 else None
-                        if model is not None:
-                            total[model] += np.bincount(g, minlength=3 * BUCKETS)
-                            seen[model][np.unique(np.concatenate([g, again + 2 * BUCKETS]))] += 1
-    model, bucket = np.nonzero(total + seen)
-    columns = [pa.array(model, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[model, bucket]), pa.array(seen[model, bucket])]
-    yield pa.RecordBatch.from_arrays(columns, names=["model", "bucket", "n", "texts"])
+                    total[RAW] += np.bincount(np.concatenate([g for g, _ in grams]), minlength=2 * BUCKETS)
+                for (g, _), (quality, toxic, use) in zip(grams, marks):
+                    if use == FIT and toxic != 1 and quality == 1:
+                        total[TARGET] += np.bincount(g, minlength=2 * BUCKETS)
+    model, bucket = np.nonzero(total)
+    columns = [pa.array(model, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[model, bucket])]
+    yield pa.RecordBatch.from_arrays(columns, names=["model", "bucket", "n"])
+
+
+def stems(word: str) -> list[str]:
+    """The beginnings of a word that can be marks."""
+    return [word[:n] for n in range(STEM, min(len(word), LONGEST_STEM) + 1)]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, whole, piece, bad, good): toxic and other texts with a word or stem; piece null for all texts. Columns in: text, lang, toxic."""
+    held: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        found: dict = {}
+        for (lang, whole, piece, toxic), n in held.items():
+            found.setdefault((lang, whole, piece), [0, 0])[not toxic] += n
+        kinds = (pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64())
+        table = [(*key, *n) for key, n in found.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in table], kind) for k, kind in enumerate(kinds)], names=["lang", "whole", "piece", "bad", "good"])
+
+    for batch in batches:
+        for text, lang, toxic in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            words = set(TOKEN.findall((text or "").lower()))
+            held.update((lang, True, w, toxic == 1) for w in words)
+            held.update((lang, False, p, toxic == 1) for p in {p for w in words for p in stems(w)})
+            held[lang, None, None, toxic == 1] += 1
+            if len(held) > HELD_PIECES:
+                yield rows()
+                held.clear()
+    yield rows()
+
+
+def toxic_marks(counts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems with the lower bound of their log odds, of a table of (lang, whole, piece, bad, good)."""
+    counts = counts.groupBy("lang", "whole", "piece").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    # What share of texts is toxic differs by language, so a word is held against that of the languages it stands in.
+    texts = counts.filter("piece is null").select(F.col("lang").alias("of"), ((F.col("bad") + 0.5) / (F.col("bad") + F.col("good") + 1)).alias("share"))
+    held = counts.filter("piece is not null").join(F.broadcast(texts), F.col("lang").eqNullSafe(F.col("of")))
+    n = F.col("bad") + F.col("good")
+    summed = held.groupBy("whole", "piece").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), (F.sum(n * F.col("share")) / F.sum(n)).alias("share"))
+    p, z = F.col("bad") / n, F.lit(Z)
+    low = (p + z * z / 2 / n - z * F.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+    odds = F.log(low / (1 - low)) - F.log(F.col("share") / (1 - F.col("share")))
+    found = summed.filter(F.col("bad") >= LEAST_TEXTS).select("whole", "piece", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS).collect()
+    return tuple({r.piece: r.odds for r in found if r.whole == whole} for whole in (True, False))
 
 
 def log_ratio(top: np.ndarray, bottom: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -84,16 +132,25 @@ def log_ratio(top: np.ndarray, bottom: np.ndarray, smooth: float = 1.0) -> np.nd
     return out
 
 
-def _scores(ratio: np.ndarray, toxic: np.ndarray):
+def _scores(ratio: np.ndarray, marks: tuple[dict[str, float], dict[str, float]]):
+    words, parts = marks
+    heads = {p[:STEM] for m in marks for p in m}
+
+    def evidence(word: str) -> float:
+        if word[:STEM] not in heads:
+            return 0.0
+        return max([words.get(word, 0.0), *(parts.get(p, 0.0) for p in stems(word))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in byte_slices(batch, 1):
-                    grams = ngrams(part.column(1).to_pylist())
+                    grams, known = ngrams(part.column(1).to_pylist())
                     mean = [float(ratio[g].mean()) if len(g) else None for g, _ in grams]
-                    # A word is toxic if it is by both hashes, so that words which share a bucket are not taken for it.
-                    bad = [float(np.minimum(toxic[g[: len(again)]], toxic[again + 2 * BUCKETS]).max(initial=0)) for g, again in grams]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mean, pa.float64()), pa.array(bad, pa.float64())], names=["id", "ratio", "toxic"])
+                    each = np.fromiter(map(evidence, known), np.float64, len(known))
+                    # Each word counts once; long texts hold more words that are marked by chance.
+                    bad = [float(each[np.unique(w[each[w] > 0])].sum() / np.sqrt(len(w))) if len(w) else 0.0 for _, w in grams]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(mean, pa.float64()), pa.array(bad, pa.float64())], names=["id", "lang", "ratio", "evidence"])
 
     return run
 
@@ -131,30 +188,52 @@ def kth_largest(df: DataFrame, column: str, k: int, few: int = 4096) -> float |
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: str = "gumbel") -> DataFrame:
-    """id, ratio, toxic, key, kept for every input row.
+def toxic_levels(held) -> tuple[float, dict[str, float]]:
+    """The evidence from which a text is toxic: of all languages, and of those with enough held-out texts; held: lang, evidence, toxic."""
+
+    def level(rows) -> float:
+        # Texts without any evidence are never toxic.
+        return max(-level_between(-rows.evidence.to_numpy(), ~rows.toxic.to_numpy()), 1e-9)
+
+    def enough(rows, n: int) -> bool:
+        return rows.toxic.sum() >= n and (~rows.toxic).sum() >= n
+
+    if not enough(held, 1):
+        return np.inf, {}
+    return level(held), {lang: level(rows) for lang, rows in held.groupby("lang") if enough(rows, OWN_LEVEL)}
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: str = "gumbel", lang_col: str = "lang") -> DataFrame:
+    """id, ratio, toxic, key, kept for every input row; toxic is the evidence over the level of the language, 0 below it.
 
     Texts without words (null, empty) have no ratio and are not kept. If no labelled good text exists, all others are. Repeated
     rows share one key and stay or go together; labels that repeat an id count once. Null ids have no label, but a weight.
+    Without a column of languages, all texts are of one.
     """
     work = Workspace(docs.sparkSession, "importance")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"))
     turn = F.xxhash64("label_id", F.lit("sample"))
     marked = labels.select(F.col(id_col).alias("label_id"), "quality", "toxic").dropna(subset=["label_id", "quality"]).dropDuplicates(["label_id"])
     chosen = work.put(marked.withColumn("turn", turn).orderBy("turn", "label_id").limit(sample).withColumn("use", F.pmod("turn", F.lit(2)).cast("int")).drop("turn"), "labels")
     with_marks = source.join(F.broadcast(chosen), F.col("id") == F.col("label_id"), "left").select("text", "quality", "toxic", "use")
-    counts = with_marks.mapInArrow(lean(_histograms), "model int, bucket int, n long, texts long").groupBy("model", "bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).toPandas()
-    total, texts = np.zeros((3, 3 * BUCKETS)), np.zeros((3, 3 * BUCKETS))
-    total[counts.model, counts.bucket], texts[counts.model, counts.bucket] = counts.n, counts.texts
+    counts = with_marks.mapInArrow(lean(_histograms), "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros((2, 2 * BUCKETS))
+    total[counts.model, counts.bucket] = counts.n
     fitted = total[TARGET].sum() > 0
     ratio = (log_ratio(total[TARGET], total[RAW]) if fitted else np.zeros(2 * BUCKETS)).astype(np.float32)
-    n_good, n_bad = (chosen.filter(f"use = {FIT}").filter(c).count() for c in ("coalesce(toxic, 0) <> 1 and quality = 1", "toxic = 1"))
-    odds = (texts[TOXIC] + 0.5) / (n_bad + 1) / ((texts[TARGET] + 0.5) / (n_good + 1))
-    marks_toxic = np.where(fitted & (texts[TOXIC] >= max(3, TOXIC_SHARE * n_bad)) & (odds >= TOXIC_RATIO), np.log(odds), 0).astype(np.float32)
-    scored = work.put(source.mapInArrow(lean(_scores(ratio, marks_toxic)), f"id {dict(docs.dtypes)[id_col]}, ratio double, toxic double"), "scores")
+    fit = source.join(F.broadcast(chosen.filter(f"use = {FIT}")), F.col("id") == F.col("label_id")).select("text", "lang", "toxic")
+    pieces = work.put(fit.mapInArrow(lean(_pieces), "lang string, whole boolean, piece string, bad long, good long"), "pieces")
+    marks = toxic_marks(pieces) if fitted else ({}, {})
+    work.drop("pieces")
+    scored = work.put(source.mapInArrow(lean(_scores(ratio, marks)), f"id {dict(docs.dtypes)[id_col]}, lang string, ratio double, evidence double"), "scores")
 
-    held = scored.join(F.broadcast(chosen.filter(f"use = {HELD_OUT}")).drop("toxic"), F.col("id") == F.col("label_id")).select("ratio", "quality").dropna().toPandas()
+    held = scored.join(F.broadcast(chosen.filter(f"use = {HELD_OUT}")), F.col("id") == F.col("label_id")).filter("ratio is not null").select("lang", "ratio", "evidence", "quality", (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic")).toPandas()
     level = level_between(held.ratio.to_numpy(), held.quality.to_numpy() == 1) if fitted and len(held) else -np.inf
+    common, own = toxic_levels(held.astype({"toxic": bool}))
+    toxic_level = F.coalesce(F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.col("lang")], F.lit(common)) if own else F.lit(float(common))
+    over = F.col("evidence") / toxic_level
+    scored = scored.select("id", "ratio", F.when(over >= 1, over).otherwise(0.0).alias("toxic"))
     weight = F.col("ratio") - 10 * F.col("toxic")
     uniform = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     keyed = scored.withColumn("key", F.lit(SHARPNESS) * weight - F.log(-F.log(uniform)))
