@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm._shared import shared_dir
+from veilframe.llm._shared import Workspace, shared_dir
 from veilframe.llm.importance import resample
 from veilframe.llm.minhash import near_duplicates
 from veilframe.llm.mixing import mixed_documents
@@ -39,9 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings are cut out of the texts; every document stays, n_chars is counted again."""
-    cut = remove_repeats(docs, full=True).select(F.col("doc_id").alias("_id"), "kept_text")
-    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
-    joined = cut.join(rest, F.col("_id").eqNullSafe(F.col("doc_id"))).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
+    rows = Workspace(spark, "suffix-dedup").keyed(docs, "rows", "_row")
+    cut = remove_repeats(rows, id_col="_row", full=True).select("_row", "kept_text")
+    joined = cut.join(rows.drop("text", "n_chars"), "_row").withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
     return joined.select(docs.columns)
 
 

@@ -45,3 +45,21 @@ def test_null_ids_pass_and_repeats_do_not(spark, tmp_path):
     out = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted(str(r.doc_id) for r in out) == ["1", "None", "None"]
     assert corpus_pipeline.suffix_dedup(spark, docs.limit(3), "").count() >= 3
+
+
+def test_rows_without_an_id_keep_their_columns_through_all_stages(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(80))
+    rows = [(None if k % 2 else k, text(k), "ab"[k // 20 % 2] + "l", "ab"[k // 20 % 2], 1) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(k, 1, 0) for k in range(0, 80, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    known, nulls = {t: (i, lang, source) for i, t, lang, source, _ in rows}, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        out = docs.collect()
+        nulls[name] = sum(r.doc_id is None for r in out)
+        assert name == "pieces" or all(known[r.text] == (r.doc_id, r.lang, r.source) for r in out)
+        if name == "mixing":
+            words = {s: sum(80 for r in out if r.source == s) for s in "ab"}
+            assert abs(words["a"] - 6400 / 3) <= 80 and abs(words["b"] - 12800 / 3) <= 80
+    assert nulls["suffix_dedup"] == nulls["near_dedup"] > 0 and nulls["pieces"] == nulls["mixing"] > 0

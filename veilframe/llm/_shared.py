@@ -41,6 +41,10 @@ class Workspace:
         df.write.option("compression", codec).mode("overwrite").parquet(self.path(tag))
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
+    def keyed(self, df: DataFrame, tag: str, key: str) -> DataFrame:
+        """``put`` with a column that tells every row from all others, where ids can be null or repeat."""
+        return self.put(df.withColumn(key, F.monotonically_increasing_id()), tag)
+
     def drop(self, *tags: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for tag in tags:

@@ -46,8 +46,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), copie
     return fits.select("sid", "source", "source_size", "weight", F.coalesce(target, F.col("_cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """id, size, source_size, target, taken, source for every input row.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), row_col: str | None = None) -> DataFrame:
+    """id, size, source_size, target, taken, source for every input row, and ``row_col``, a key of rows, if there is one.
 
     Texts without words (null, empty) have size 0 and are never taken. A null source is a source of its own, the last.
     Rows with the same id stand side by side in the queue. An empty table gives an empty result. Reruns agree: the order
@@ -62,7 +62,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.xxhash64(F.col(source_col).isNull(), F.col(source_col)).alias("sid"),
         F.size(words_column(F.col(text_col))).cast("long").alias("size"),
         key.alias("h"),
+        *([F.col(row_col).alias("row")] if row_col else []),
     )
+    row = ["row"] if row_col else []
     sized = work.put(sized, "sized")
     n = sized.count()
     buckets = max(16, -(-n // BUCKET_ROWS))
@@ -72,9 +74,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).join(targets.drop("source"), "sid")
     offsets = work.put(offsets.select("sid", "bucket", "offset", "source_size", "target"), "offsets")
-    within = Window.partitionBy("sid", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("sid", "bucket").orderBy("h", "id", *row).rowsBetween(Window.unboundedPreceding, 0)
     queue = sized.withColumn("run", F.sum("size").over(within)).join(offsets, ["sid", "bucket"])
-    queue = queue.select("id", "source", "size", "source_size", "target", "h", (F.col("offset") + F.col("run")).alias("upto"))
+    queue = queue.select("id", "source", "size", "source_size", "target", "h", (F.col("offset") + F.col("run")).alias("upto"), *row)
     queue = work.put(queue, "queue")
     work.drop("sized")
     budget = sums.agg(F.coalesce(F.sum("bucket_size"), F.lit(0))).first()[0]
@@ -105,12 +107,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return F.when(ok, F.col("size")).otherwise(F.lit(0))
 
     taken = F.when(live, sum((is_taken(c) for c in range(1, COPIES)), is_taken(0))).otherwise(F.lit(0)).cast("long")
-    return queue.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "source")
+    return queue.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "source", *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each input row as often as the mix takes it, with the columns of the input."""
-    taken = mix(docs, id_col=id_col, **options).filter("taken > 0").select(F.col(id_col).alias("_mix_id"), F.expr("cast(taken / size as int)").alias("_mix_n"))
-    taken = taken.groupBy("_mix_id").agg(F.max("_mix_n").alias("_mix_n"))
-    joined = docs.join(taken, docs[id_col] == taken["_mix_id"])
-    return joined.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select([docs[c] for c in docs.columns])
+    rows = Workspace(docs.sparkSession, "mixed").keyed(docs, "rows", "_mix_row")
+    taken = mix(rows, id_col=id_col, row_col="_mix_row", **options).filter("taken > 0")
+    taken = taken.select("_mix_row", F.expr("cast(taken / size as int)").alias("_mix_n"))
+    joined = rows.join(taken, "_mix_row")
+    return joined.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select([rows[c] for c in docs.columns])
