@@ -131,6 +131,18 @@ def test_repeated_strings(frame, corpus, most_runs):
     assert {tuple(r) for r in got} == _repeats(corpus, 400)
 
 
+@pytest.mark.parametrize("most_runs", [4096, 1])
+def test_repeated_strings_of_rows_without_an_id(frame, most_runs):
+    rng = random.Random(8)
+    passage = _words(rng, 110)
+    assert len(passage) > 600
+    # The whole passage stands in rows without an id and in one with an id; others share parts of it only.
+    rows = [(i, _words(rng, 20) + passage + _words(rng, 20)) for i in (None, None, 1)]
+    rows += [(k, _words(rng, 20) + passage[60 * k : 60 * k + 430] + _words(rng, 20)) for k in (2, 3)] + [(3, "z" * 500), (3, "z" * 450)]
+    got = suffix.remove_repeats(frame(rows), most_runs=most_runs).collect()
+    assert Counter(tuple(r) for r in got) == Counter(x for k, (i, t) in enumerate(rows) for x in [(i, *next(y for y in _repeats([(n, t) for n, (_, t) in enumerate(rows)], 400) if y[0] == k)[1:])])
+
+
 def test_suffix_order_is_that_of_sorting():
     rng = random.Random(2)
     for _ in range(100):

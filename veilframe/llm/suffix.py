@@ -236,7 +236,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in byte_slices(batch, 1):
             z = [squeeze.compress((t or "").encode()) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary())], names=["id", "z"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary()), part.column(2)], names=["id", "z", "own"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,10 +291,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts have no bytes. Strings are judged on the input: of two copies both go. A repeated row is another place,
     so its text goes too if it is long enough. kept_text drops the bytes of characters that were cut in half. Texts are read
-    whole; other columns are not read.
+    whole; other columns are not read. Rows are told apart by keys of their own, so ids may be null or repeat.
     """
     work = Workspace(docs.sparkSession, "suffix")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = work.keyed(docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("own")), "source", "id").select("id", "text", "own")
     gram = min(GRAM, max(1, length // 4))
     names = ["id", "anchor", "run", "n", "s", "e"]
     runs = work.put(source.mapInArrow(lean(lambda it: _runs(it, length, gram, names)), ", ".join(f"{c} long" for c in names)), "runs")
@@ -305,10 +305,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = work.put(each.filter("n > 1").select("anchor", "run"), "whole")
     spans = runs.filter("n = 1").join(whole, ["anchor", "run"]).select("id", "s", "e").union(runs.filter("anchor is null").select("id", "s", "e"))
 
-    packed = source.mapInArrow(lean(_pack), "id long, z binary")
+    packed = source.mapInArrow(lean(_pack), "id long, z binary, own long")
     contested = each.join(anchors, "anchor").select("rep.id", F.struct("anchor", (F.col("n") == 1).alias("alone"), "runs", "rep.s", "rep.e").alias("r"))
     contested = work.put(contested.groupBy("id").agg(F.collect_list("r").alias("r")), "contested")
-    pieces = packed.dropna(subset=["id"]).join(contested, "id").dropDuplicates(["id"]).mapInArrow(lean(_cut), "id long, anchor long, alone boolean, runs long, s long, bytes binary")
+    pieces = packed.drop("own").join(contested, "id").mapInArrow(lean(_cut), "id long, anchor long, alone boolean, runs long, s long, bytes binary")
     pieces = work.put(pieces, "pieces")
     total = pieces.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
@@ -323,4 +323,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_text = work.put(by_text, "spans")
     work.drop("runs", "each", "whole", "pieces", "contested")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if full else "")
-    return packed.join(by_text, "id", "left").mapInArrow(lean(_finish(full)), schema).withColumnRenamed("id", id_col)
+    return packed.join(by_text, "id", "left").select("own", "z", "spans").mapInArrow(lean(_finish(full)), schema).withColumnRenamed("id", id_col)
