@@ -40,7 +40,8 @@ def redact_batch(batch: DataFrame, store: MappingStore, id_col: str = "message_i
     """A batch of messages pseudonymized under one commit of the store; equal texts are analyzed once."""
     distinct = batch.select(text_col).distinct()
     analyzed = detect(distinct, text_col, doc_type="chat")
-    found = batch.join(analyzed, text_col)
+    # Messages without a text stay, with no findings.
+    found = batch.join(analyzed.withColumnRenamed(text_col, "_text"), F.col(text_col).eqNullSafe(F.col("_text"))).drop("_text")
     before = store.mapping()
     found = local_sweep(without_codes(found, before, id_col, text_col), request_col, id_col, text_col)
     known = find_known(found, dictionary(before.select("entity_type", F.col("value"))), id_col, text_col)
