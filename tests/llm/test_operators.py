@@ -124,14 +124,14 @@ def _repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("most_runs", [4096, 1])
-def test_repeated_strings(frame, corpus, most_runs):
-    got = suffix.remove_repeats(frame(corpus).withColumnRenamed("lang", "n_bytes"), most_runs=most_runs).collect()
+@pytest.mark.parametrize("length, most_runs", [(400, 1024), (400, 1), (250, 1024), (250, 2)])
+def test_repeated_strings(frame, corpus, length, most_runs):
+    got = suffix.remove_repeats(frame(corpus).withColumnRenamed("lang", "n_bytes"), length=length, most_runs=most_runs).collect()
     assert len(got) == len(corpus)
-    assert {tuple(r) for r in got} == _repeats(corpus, 400)
+    assert {tuple(r) for r in got} == _repeats(corpus, length)
 
 
-@pytest.mark.parametrize("most_runs", [4096, 1])
+@pytest.mark.parametrize("most_runs", [1024, 1])
 def test_repeated_strings_of_rows_without_an_id(frame, most_runs):
     rng = random.Random(8)
     passage = _words(rng, 110)
@@ -151,6 +151,28 @@ def test_suffix_order_is_that_of_sorting():
         assert order.tolist() == [k for _, k in sorted((p[i:], s + i) for p, s in zip(parts, starts.tolist()) for i in range(len(p)))]
 
 
+def test_common_prefixes():
+    rng = random.Random(3)
+    for _ in range(100):
+        parts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(20, 60))) for _ in range(4)]
+        raw = b"\0".join(parts) + b"\0"
+        _, starts, order = suffix.suffix_order(parts, [len(p) - 19 for p in parts])
+        order = np.array([k for k in order.tolist() if any(s <= k <= s + len(p) - 20 for p, s in zip(parts, starts.tolist()))])
+        got = suffix.common_prefixes(raw, order, 20)
+        for a, b, n in zip(order[:-1].tolist(), order[1:].tolist(), got.tolist()):
+            assert n == next((k for k in range(20) if raw[a + k] != raw[b + k]), 20)
+
+
+def test_a_hot_run_is_split_by_the_bytes_around_its_anchor():
+    rng = random.Random(4)
+    text = _words(rng, 200).encode()
+    for first, last in zip(*suffix.runs_of(text)[1:]):
+        run = text[first : last + suffix.LENGTH]
+        for width in suffix.WIDTHS:
+            starts = [k for _, core, s, e in suffix.parts_of(run, width, suffix.LENGTH, suffix.GRAM) for k in range(s, e - suffix.LENGTH + 1) if core in run[k : k + suffix.LENGTH]]
+            assert sorted(starts) == list(range(last - first + 1))
+
+
 def test_mixing(frame, corpus):
     rows = [(i, t, "en", [None, "a", "b", "c", "é", "d"][i % 6]) for i, t in corpus if i != 79] + [(79, corpus[-1][1], "en", "a")]
     df = frame(rows).withColumnRenamed("lang", "size")

@@ -22,7 +22,7 @@ def op1_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.suffix import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    return remove_repeats(_table(spark, sf_dir, "documents"), full=True)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

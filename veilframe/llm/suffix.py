@@ -4,15 +4,17 @@ A byte goes if it lies in a string of ``length`` bytes that also starts anywhere
 
 Windows of that length are dealt to the corpus-wide comparison by an anchor, the window's smallest hash of GRAM bytes: equal
 windows have equal anchors, so windows with different anchors are never compared. Consecutive windows of one anchor are a run,
-one row of a few numbers. Runs whose bytes are equal as a whole repeat without further work, and are counted with a
-combining aggregation, so thousands of copies of a passage are a few rows by the time they are shuffled. Only anchors with
-runs that differ are contested; one copy of each different run goes to a suffix sort:
+one row of a few numbers. Copies of a run are counted with a combining aggregation and stand for one another from there on, so
+thousands of copies of a passage are a few rows by the time they are shuffled. Of each anchor with runs that differ, one copy of
+each goes to a suffix sort:
 
 * suffixes smaller than their successor are sorted directly,
 * the others are induced from them by scanning the buckets of first bytes in order,
-* equal prefixes of neighbours then mark the windows that occur twice.
+* common prefixes of neighbours of at least ``length`` bytes then mark the windows that occur twice.
 
-Anchors with more than MOST_RUNS different runs are compared by hashes of their windows instead, without a task that holds them all.
+A hot anchor, with more than MOST_RUNS different runs, is split before it is sorted. Windows are told apart by where the anchor
+stands in them, in ranges of WIDTHS; all windows of a range hold the same bytes around the anchor, and equal windows have equal ones, so
+these bytes deal the parts of the runs to groups of their own. Groups that are still too large are split by the next width.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ from veilframe.llm._shared import Workspace, byte_slices, grouped, lean
 LENGTH = 400
 GRAM = 100
 CHUNK = 1 << 19  # bytes of a text hashed at once
-BLOCK_BYTES = 2 << 20  # bytes of contested runs sorted at once
-MOST_RUNS = 4096
+BLOCK_BYTES = 1 << 19  # bytes of contested runs sorted at once
+MOST_RUNS = 1024  # different runs of an anchor that one sort takes
+WIDTHS = (64, 8, 1)  # windows of one part of a run; of one window, all in a group are equal
 
 _RANDOM = np.random.default_rng(7)
 _BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64)
@@ -193,25 +196,35 @@ def suffix_order(pieces: list[bytes], wanted: list[int]) -> tuple[np.ndarray, np
     return text, starts, np.concatenate(order) if order else np.zeros(0, np.int64)
 
 
+def common_prefixes(raw: bytes, order: np.ndarray, most: int) -> np.ndarray:
+    """Length of the common prefix of each suffix in order with the next one, up to ``most`` bytes; suffixes have as many."""
+    padded = np.frombuffer(raw + bytes(8), np.uint8)
+    words = np.zeros(len(raw), np.uint64)
+    for k in range(8):
+        words |= padded[k : k + len(raw)].astype(np.uint64) << np.uint64(8 * k)
+    a, b = order[:-1], order[1:]
+    out = np.full(len(a), most, np.int64)
+    alive = np.arange(len(a))
+    for at in range(0, most, 8):
+        # Past the end of the text two suffixes are no longer both of ``most`` bytes.
+        x = words[np.minimum(a[alive] + at, len(raw) - 1)] ^ words[np.minimum(b[alive] + at, len(raw) - 1)]
+        ended = x != 0
+        low = x[ended] & (~x[ended] + np.uint64(1))
+        out[alive[ended]] = np.minimum(at + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3), most)
+        alive = alive[~ended]
+    return out
+
+
 def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each piece the starts of its windows that also occur at another place of the pieces."""
     wanted = [len(p) - length + 1 for p in pieces]
     text, starts, order = suffix_order(pieces, wanted)
     owner = np.searchsorted(starts, order, side="right") - 1
     order = order[order - starts[owner] < np.array(wanted)[owner]]
-    # Common prefix of neighbours, as far as it matters: whether it reaches the length. The far end differs first.
-    a, b = order[:-1], order[1:]
-    alive = np.arange(len(a))
-    for offset in (length - 1, length // 2, 0):
-        alive = alive[text[a[alive] + offset] == text[b[alive] + offset]]
-    windows = np.lib.stride_tricks.sliding_window_view(text, length)
-    equal = np.zeros(len(a), bool)
-    for at in range(0, len(alive), 8192):
-        k = alive[at : at + 8192]
-        equal[k] = (windows[a[k]] == windows[b[k]]).all(axis=1)
+    equal = common_prefixes(b"\0".join(pieces) + b"\0", order, length) >= length
     hit = np.zeros(len(text), bool)
-    hit[a[equal]] = True
-    hit[b[equal]] = True
+    hit[order[:-1][equal]] = True
+    hit[order[1:][equal]] = True
     return [np.flatnonzero(hit[s : s + w]) for s, w in zip(starts.tolist(), wanted)]
 
 
@@ -240,29 +253,43 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "anchor", "alone", "runs", "s", "bytes"]
+    """The bytes of the runs that are listed for each text."""
+    names = ["id", "grp", "alone", "hot", "s", "bytes"]
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
         columns: list[list] = [[] for _ in names]
         for i, z, runs in zip(*(batch.column(k).to_pylist() for k in range(3))):
             raw = expand.decompress(z, max_output_size=1 << 31)
             for r in runs:
-                for c, v in zip(columns, (i, r["anchor"], r["alone"], r["runs"], r["s"], raw[r["s"] : r["e"]])):
+                for c, v in zip(columns, (i, r["grp"], r["alone"], r["hot"], r["s"], raw[r["s"] : r["e"]])):
                     c.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _window_hashes(length: int):
+def parts_of(run: bytes, width: int, length: int, gram: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """Range, common bytes, start and end of the parts of a run whose windows have the anchor in ranges of ``width`` places."""
+    with np.errstate(over="ignore"):
+        at = int(np.argmin(_gram_hashes(np.frombuffer(run, np.uint8), gram) & ~_LOW))
+    first, last = at - (len(run) - length), at  # places of the anchor in the last and in the first window
+    for k in range(max(first, 0) // width, last // width + 1):
+        low, high = max(first, k * width), min(last, k * width + width - 1)
+        core = run[max(at - k * width, 0) : at - (k * width + width - 1) + length]
+        yield k, core, at - high, at - low + length
+
+
+def _split(width: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "grp", "part", "alone", "s", "bytes"]
         for batch in batches:
-            for i, base, one, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                view = memoryview(raw)
-                n = len(raw) - length + 1
-                prints = [xxhash.xxh3_128_intdigest(view[k : k + length]) for k in range(n)]
-                signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-                columns = [pa.array([i] * n, pa.int64()), pa.array(range(base, base + n), pa.int64()), pa.array([one] * n), signed([p >> 64 for p in prints]), signed([p & (2**64 - 1) for p in prints])]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "s", "alone", "w1", "w2"])
+            columns: list[list] = [[] for _ in names]
+            for i, grp, one, base, raw in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                for k, core, s, e in parts_of(raw, width, length, gram):
+                    group = xxhash.xxh3_64_intdigest(core + grp.to_bytes(8, "little", signed=True) + k.to_bytes(4, "little")) - 2**63
+                    for c, v in zip(columns, (i, group, xxhash.xxh3_64_intdigest(raw[s:e]) - 2**63, one, base + s, raw[s:e])):
+                        c.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return run
 
@@ -286,12 +313,21 @@ def _finish(full: bool):
     return run
 
 
+def _sorted(pieces: DataFrame, length: int) -> DataFrame:
+    """(id, s, e): what the suffix sort finds in pieces (id, grp, alone, s, bytes), many groups to a block."""
+    total = pieces.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    dealt = pieces.select("id", "s", "alone", "bytes", F.pmod(F.xxhash64("grp"), F.lit(blocks)).alias("block"))
+    return grouped(dealt, ["block"], _contested(length), "id long, s long, e long")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, full: bool = False, most_runs: int = MOST_RUNS) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 for every input row, with ``full`` also kept_text.
 
     Null and empty texts have no bytes. Strings are judged on the input: of two copies both go. A repeated row is another place,
     so its text goes too if it is long enough. kept_text drops the bytes of characters that were cut in half. Texts are read
-    whole; other columns are not read. Rows are told apart by keys of their own, so ids may be null or repeat.
+    whole; other columns are not read. Rows are told apart by keys of their own, so ids may be null or repeat. An empty table
+    gives an empty result.
     """
     work = Workspace(docs.sparkSession, "suffix")
     source = work.keyed(docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("own")), "source", "id").select("id", "text", "own")
@@ -300,27 +336,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = work.put(source.mapInArrow(lean(lambda it: _runs(it, length, gram, names)), ", ".join(f"{c} long" for c in names)), "runs")
     each = runs.filter("anchor is not null").groupBy("anchor", "run").agg(F.sum("n").alias("n"), F.min(F.struct("id", "s", "e")).alias("rep"))
     each = work.put(each, "each")
-    anchors = each.groupBy("anchor").agg(F.count("*").alias("runs")).filter("runs > 1")
-    anchors = work.put(anchors, "anchors")
-    whole = work.put(each.filter("n > 1").select("anchor", "run"), "whole")
-    spans = runs.filter("n = 1").join(whole, ["anchor", "run"]).select("id", "s", "e").union(runs.filter("anchor is null").select("id", "s", "e"))
+    anchors = each.groupBy("anchor").agg((F.count("*") > most_runs).alias("hot"), F.count("*").alias("runs")).filter("runs > 1").drop("runs")
+    whole = each.filter("n > 1").select("anchor", "run")
+    # These joins are with tables that grow with the input, so none is broadcast however small.
+    spans = runs.filter("n = 1").join(whole.hint("merge"), ["anchor", "run"]).select("id", "s", "e").union(runs.filter("anchor is null").select("id", "s", "e"))
+    spans = work.put(spans, "whole")
+    work.drop("runs")
 
     packed = source.mapInArrow(lean(_pack), "id long, z binary, own long")
-    contested = each.join(anchors, "anchor").select("rep.id", F.struct("anchor", (F.col("n") == 1).alias("alone"), "runs", "rep.s", "rep.e").alias("r"))
+    contested = each.join(work.put(anchors, "anchors").hint("merge"), "anchor")
+    contested = contested.select("rep.id", F.struct(F.col("anchor").alias("grp"), (F.col("n") == 1).alias("alone"), "hot", "rep.s", "rep.e").alias("r"))
     contested = work.put(contested.groupBy("id").agg(F.collect_list("r").alias("r")), "contested")
-    pieces = packed.drop("own").join(contested, "id").mapInArrow(lean(_cut), "id long, anchor long, alone boolean, runs long, s long, bytes binary")
-    pieces = work.put(pieces, "pieces")
-    total = pieces.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    normal = pieces.filter(F.col("runs") <= most_runs).select("id", "s", "alone", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block"))
-    found = grouped(normal, ["block"], _contested(length), "id long, s long, e long")
-    if anchors.filter(F.col("runs") > most_runs).limit(1).count():
-        crowded = pieces.filter(F.col("runs") > most_runs).select("id", "s", "alone", "bytes")
-        windows = work.put(crowded.mapInArrow(_window_hashes(length), "id long, s long, alone boolean, w1 long, w2 long"), "windows")
-        twice = work.put(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "twice")
-        found = found.union(windows.filter("alone").join(twice, ["w1", "w2"]).select("id", "s", (F.col("s") + length).alias("e")))
-    by_text = spans.union(found).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    by_text = work.put(by_text, "spans")
-    work.drop("runs", "each", "whole", "pieces", "contested")
+    work.drop("each", "anchors")
+    pieces = packed.drop("own").join(contested.hint("merge"), "id").mapInArrow(lean(_cut), "id long, grp long, alone boolean, hot boolean, s long, bytes binary")
+    pieces = work.put(pieces, "pieces0")
+    work.drop("contested")
+    for level, width in enumerate(WIDTHS):
+        spans = spans.union(work.put(_sorted(pieces.filter("not hot"), length), f"sorted{level}"))
+        if not pieces.filter("hot").limit(1).count():
+            break
+        schema = "id long, grp long, part long, alone boolean, s long, bytes binary"
+        parts = work.put(pieces.filter("hot").select("id", "grp", "alone", "s", "bytes").mapInArrow(lean(_split(width, length, gram)), schema), f"parts{level}")
+        n = F.sum(F.when(F.col("alone"), 1).otherwise(2))
+        different = work.put(parts.groupBy("grp", "part").agg(n.alias("n"), F.min(F.struct("id", "s")).alias("rep"), F.first("bytes").alias("bytes")), f"different{level}")
+        again = parts.filter("alone").join(different.filter("n > 1").select("grp", "part").hint("merge"), ["grp", "part"])
+        spans = spans.union(work.put(again.select("id", "s", (F.col("s") + F.length("bytes")).alias("e")), f"again{level}"))
+        groups = different.groupBy("grp").agg((F.count("*") > most_runs).alias("hot"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+        left = different.join(groups.hint("merge"), "grp").select("rep.id", "grp", (F.col("n") == 1).alias("alone"), "hot", "rep.s", "bytes")
+        pieces = work.put(left, f"pieces{level + 1}")
+        work.drop(f"pieces{level}", f"parts{level}", f"different{level}")
+    by_text = work.put(spans.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    work.drop("whole", *(f"{x}{k}" for k in range(len(WIDTHS) + 1) for x in ("pieces", "sorted", "again")))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if full else "")
-    return packed.join(by_text, "id", "left").select("own", "z", "spans").mapInArrow(lean(_finish(full)), schema).withColumnRenamed("id", id_col)
+    return packed.join(by_text.hint("merge"), "id", "left").select("own", "z", "spans").mapInArrow(lean(_finish(full)), schema).withColumnRenamed("id", id_col)
