@@ -282,10 +282,11 @@ def _group_tiles(members: DataFrame, labels: DataFrame, work: Workspace) -> Data
 def _estimated(reps: DataFrame, work: Workspace) -> DataFrame:
     """(id, component): candidate groups, what estimated links of at least ESTIMATE connect. Columns of reps: id, post, sketch."""
     edges = "a long, b long"
-    with_sketch = lambda m: m.join(reps.select("id", "sketch"), "id")
+    # Joins with tables that grow with the input are never broadcast, however small one is by chance.
+    with_sketch = lambda m: m.join(reps.select("id", "sketch").hint("merge"), "id")
     postings = reps.select("id", F.explode("post").alias("v"))
     lists = work.put(_distinct_lists(postings, "v"), "lists")
-    members = postings.join(lists.filter(F.col("members") <= BLOCK).select("v"), "v")
+    members = postings.join(lists.filter(F.col("members") <= BLOCK).select("v").hint("merge"), "v")
     links = work.put(grouped(with_sketch(members).select("v", "id", "sketch"), ["v"], _estimate_block, edges), "estimated")
     hot = lists.filter(F.col("members") > BLOCK).select("v")
     if not hot.limit(1).count():
@@ -338,15 +339,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = _estimated(classes.select("id", "post", "sketch"), work)
 
     # Candidate groups, confirmed on full sets.
-    sized = groups.join(classes.select("id", "n", "rep", "fp1"), "id").select("id", "n", "rep", "fp1", F.col("component").alias("grp"))
+    sized = groups.hint("merge").join(classes.select("id", "n", "rep", "fp1"), "id").select("id", "n", "rep", "fp1", F.col("component").alias("grp"))
     sized = work.put(sized, "sized")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES_EACH))
     members = work.put(sized.join(sized.groupBy("grp").agg(F.count("*").alias("members"), blocks.alias("blocks")), "grp"), "grouped")
-    texts = source.select(F.col("id").alias("rep"), "text").join(members.select("rep"), "rep", "left_semi").withColumn("print", F.xxhash64("text"))
+    texts = source.select(F.col("id").alias("rep"), "text").join(members.select("rep").hint("merge"), "rep", "left_semi").withColumn("print", F.xxhash64("text"))
     texts = texts.dropDuplicates(["rep", "print"]).drop("print")
     edges = "a long, b long"
     dealt = _dealt(members, "blocks", _by_hash()).select("grp", "block", "id", "rep", "fp1")
-    links = work.put(grouped(dealt.join(texts, "rep").select("grp", "block", "id", "fp1", "text"), ["grp", "block"], _exact_block, edges), "links")
+    links = work.put(grouped(dealt.join(texts.hint("merge"), "rep").select("grp", "block", "id", "fp1", "text"), ["grp", "block"], _exact_block, edges), "links")
     labels = work.put(connected_components(links, work, "c"), "labels")
     large = members.filter("blocks > 1")
     if large.limit(1).count():
@@ -358,11 +359,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = labels.join(classes.select("id", "rep"), "id")
     least = work.put(least.select("id", "component", "rep"), "least")
     smallest = least.join(least.groupBy("component").agg(F.min("rep").alias("smallest")), "component").select("id", "smallest")
-    resolved = classes.select("id", "rep", "fp1", "fp2").join(smallest, "id", "left").select("fp1", "fp2", F.coalesce("smallest", "rep").alias("component"))
+    resolved = classes.select("id", "rep", "fp1", "fp2").join(smallest.hint("merge"), "id", "left").select("fp1", "fp2", F.coalesce("smallest", "rep").alias("component"))
     resolved = work.put(resolved, "resolved")
     work.drop("classes", "labels", "labels2", "least")
     row = ["row"] if row_col else []
-    out = sk.select("id", *row, "n", "fp1", "fp2").join(resolved, ["fp1", "fp2"], "left")
+    out = sk.select("id", *row, "n", "fp1", "fp2").join(resolved.hint("merge"), ["fp1", "fp2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), *([F.col("row").alias(row_col)] if row_col else []))
     kept = F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))
