@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,14 +15,22 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of the warehouse where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="veilframe-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front as long as a column has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Workspace:
     """Tables written to the shared folder and read again: lineage ends there, so a lost executor costs one stage.
 
@@ -52,6 +59,12 @@ class Workspace:
             p.getFileSystem(conf).delete(p, True)
 
 
+def range_sorted(df: DataFrame, order: list, work: Workspace, tag: str, rows_each: int = 10_000, most: int = 10_000) -> DataFrame:
+    """A written copy of df in one global order, with ``part``, the number of a row's range: at most ``most`` ranges of about ``rows_each`` rows."""
+    parts = max(1, min(most, -(-df.count() // rows_each)))
+    return work.put(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), tag)
+
+
 def lean(step):
     """A step over Arrow batches that gives its memory back when its partition ends, as the worker lives on for later tasks."""
 

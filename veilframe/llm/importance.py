@@ -1,14 +1,14 @@
 """Quality by importance resampling (operator 8).
 
 Two generative models over hashed word n-grams, one of target text (labelled good and not toxic) and one of the raw corpus,
-give each document a log importance weight: the mean of log p_target / p_raw over its n-grams, times SHARPNESS. Gumbel noise from
-a hash of the id is added and the k documents with the largest keys stay. k is the number of documents whose weight is above
-the level that best parts good from bad in a held-out half of the labelled sample.
+give each document the mean of log p_target / p_raw over its n-grams. Toxic text is told by marks, words and beginnings of words as
+inflected words share them: whether a text holds them is a second ratio, of labelled toxic texts against the others, by a lower
+confidence bound of the odds in the languages a word stands in. Evidence of the different words of a text adds up.
 
-Toxic text is told by marks: words, and beginnings of words as inflected words share them, with a lower confidence bound of the
-odds that a labelled text which holds them is toxic, against the odds of the languages it stands in. Evidence of the different words
-of a text adds up, and the level above which a text is toxic is set on the held-out half, per language where it has enough
-toxic texts there. Toxic texts lose more weight than noise can make up for.
+N-grams of a text are not independent, so sums of logarithms overstate what they say. The log importance weight is the two ratios scaled
+to log odds of target text by a logistic fit on a held-out half of the labelled sample. Gumbel noise from a hash of the id is added and
+the k documents with the largest sums stay, a sample without replacement in proportion to the weights; k is the number of
+target documents that the weights expect. So a text that is clearly good or bad is decided by its weight, others by chance.
 
 Counts of the raw model cover all documents. Only the labelled rows are sampled, at most SAMPLE of them by a hash of their ids.
 """
@@ -29,11 +29,12 @@ from veilframe.llm._shared import Workspace, byte_slices, lean
 
 BUCKETS = 1 << 16  # for words, and as many for pairs of words
 SAMPLE = 20_000
-SHARPNESS = 500.0
 #: A mark stands in so many toxic texts at least, and its odds are e ** LEAST_ODDS times as high, at Z standard errors below.
 LEAST_TEXTS, LEAST_ODDS, Z = 3, 1.0, 2.0
 #: Lengths of the beginnings of words.
 STEM, LONGEST_STEM = 4, 12
+#: The most that evidence counts, in levels, and the shrinkage of the logistic fit.
+MOST_EVIDENCE, SHRINK = 2.0, 1e-4
 #: Toxic and clean held-out texts that a language needs for a level of its own.
 OWN_LEVEL = 10
 HELD_PIECES = 200_000  # counted pieces that a task holds before it passes them on
@@ -150,7 +151,9 @@ def _scores(ratio: np.ndarray, marks: tuple[dict[str, float], dict[str, float]])
                     each = np.fromiter(map(evidence, known), np.float64, len(known))
                     # Each word counts once; long texts hold more words that are marked by chance.
                     bad = [float(each[np.unique(w[each[w] > 0])].sum() / np.sqrt(len(w))) if len(w) else 0.0 for _, w in grams]
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(mean, pa.float64()), pa.array(bad, pa.float64())], names=["id", "lang", "ratio", "evidence"])
+                    kept = [part.column(k) for k in range(part.num_columns) if k != 1]
+                    names = [part.schema.names[k] for k in range(part.num_columns) if k != 1]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(mean, pa.float64()), pa.array(bad, pa.float64())], names=[*names, "ratio", "evidence"])
 
     return run
 
@@ -203,16 +206,35 @@ def toxic_levels(held) -> tuple[float, dict[str, float]]:
     return level(held), {lang: level(rows) for lang, rows in held.groupby("lang") if enough(rows, OWN_LEVEL)}
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: str = "gumbel", lang_col: str = "lang") -> DataFrame:
-    """id, ratio, toxic, key, kept for every input row; toxic is the evidence over the level of the language, 0 below it.
-
-    Texts without words (null, empty) have no ratio and are not kept. If no labelled good text exists, all others are. Repeated
-    rows share one key and stay or go together; labels that repeat an id count once. Null ids have no label, but a weight.
-    Without a column of languages, all texts are of one.
+def log_odds(features: np.ndarray, target: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Coefficients (the first of a constant) of a logistic fit by damped Newton steps; what is aimed at stays off 0 and 1 by the number of rows."""
+    n = target.sum()
+    aim = np.where(target, (n + 1) / (n + 2), 1 / (len(target) - n + 2))
+    scale = features.std(axis=0)
+    scale[scale == 0] = 1
+    x = np.column_stack([np.ones(len(features)), features / scale])
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + SHRINK * np.eye(len(w)), x.T @ (aim - p) - SHRINK * w)
+        w += step / max(1.0, np.abs(step).max() / 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return w / np.r_[1, scale]
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: str = "gumbel", lang_col: str = "lang", row_col: str | None = None) -> DataFrame:
+    """id, ratio, toxic, weight, key, kept for every input row, and ``row_col``, a key of rows, if there is one.
+
+    toxic is the evidence over the level of the language, 0 below it; weight is in log odds. Texts without words (null, empty) have no
+    ratio and are not kept. If the labels hold no good text, or none to set against it, all others are. Repeated rows share one
+    key and stay or go together; labels that repeat an id count once. Null ids have no label, but a weight, and share their noise.
+    Texts are read whole. Without a column of languages, all texts are of one. An empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession, "importance")
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"))
+    row = [F.col(row_col).cast("long").alias("row")] if row_col else []
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"), *row)
     turn = F.xxhash64("label_id", F.lit("sample"))
     marked = labels.select(F.col(id_col).alias("label_id"), "quality", "toxic").dropna(subset=["label_id", "quality"]).dropDuplicates(["label_id"])
     chosen = work.put(marked.withColumn("turn", turn).orderBy("turn", "label_id").limit(sample).withColumn("use", F.pmod("turn", F.lit(2)).cast("int")).drop("turn"), "labels")
@@ -226,20 +248,29 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     pieces = work.put(fit.mapInArrow(lean(_pieces), "lang string, whole boolean, piece string, bad long, good long"), "pieces")
     marks = toxic_marks(pieces) if fitted else ({}, {})
     work.drop("pieces")
-    scored = work.put(source.mapInArrow(lean(_scores(ratio, marks)), f"id {dict(docs.dtypes)[id_col]}, lang string, ratio double, evidence double"), "scores")
+    schema = f"id {dict(docs.dtypes)[id_col]}, lang string, " + "row long, " * bool(row_col) + "ratio double, evidence double"
+    scored = work.put(source.mapInArrow(lean(_scores(ratio, marks)), schema), "scores")
 
     held = scored.join(F.broadcast(chosen.filter(f"use = {HELD_OUT}")), F.col("id") == F.col("label_id")).filter("ratio is not null").select("lang", "ratio", "evidence", "quality", (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic")).toPandas()
-    level = level_between(held.ratio.to_numpy(), held.quality.to_numpy() == 1) if fitted and len(held) else -np.inf
-    common, own = toxic_levels(held.astype({"toxic": bool}))
+    held = held.astype({"toxic": bool})
+    common, own = toxic_levels(held)
     toxic_level = F.coalesce(F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.col("lang")], F.lit(common)) if own else F.lit(float(common))
     over = F.col("evidence") / toxic_level
-    scored = scored.select("id", "ratio", F.when(over >= 1, over).otherwise(0.0).alias("toxic"))
-    weight = F.col("ratio") - 10 * F.col("toxic")
+    scored = scored.withColumn("toxic", F.when(over >= 1, F.least(over, F.lit(MOST_EVIDENCE))).otherwise(0.0)).drop("lang", "evidence")
+    target = ((held.quality == 1) & ~held.toxic).to_numpy()
+    decided = fitted and target.any() and not target.all()
+    held_over = held.evidence / held.lang.map(own).fillna(common)
+    features = np.column_stack([held.ratio, np.where(held_over >= 1, np.minimum(held_over, MOST_EVIDENCE), 0.0)])
+    constant, *slopes = log_odds(features, target).tolist() if decided else (0.0, 0.0, 0.0)
+    weight = F.lit(constant) + F.lit(slopes[0]) * F.col("ratio") + F.lit(slopes[1]) * F.col("toxic")
     uniform = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = scored.withColumn("key", F.lit(SHARPNESS) * weight - F.log(-F.log(uniform)))
+    keyed = scored.withColumn("weight", weight).withColumn("key", F.col("weight") - F.log(-F.log(uniform)))
     keyed = work.put(keyed, "keys")
     work.drop("scores")
-    k = keyed.filter(F.col("ratio").isNotNull() & (weight >= F.lit(float(level)))).count()
+    # The number of target documents among those with words, as the weights expect it.
+    share = 1 / (1 + F.exp(-F.col("weight"))) if decided else F.lit(1.0)
+    k = round(keyed.filter("ratio is not null").agg(F.coalesce(F.sum(share), F.lit(0.0))).first()[0])
     cut = kth_largest(keyed.select("key"), "key", k)
     kept = F.col("key").isNotNull() & (F.col("key") >= F.lit(cut)) if cut is not None else F.lit(False)
-    return keyed.withColumn("kept", kept).withColumnRenamed("id", id_col)
+    out = keyed.select(F.col("id").alias(id_col), "ratio", "toxic", "weight", "key", *([F.col("row").alias(row_col)] if row_col else []))
+    return out.withColumn("kept", kept)
