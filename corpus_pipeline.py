@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm._shared import Workspace, shared_dir
+from veilframe.llm._shared import Workspace, shared_dir, unused_name
 from veilframe.llm.importance import resample
 from veilframe.llm.minhash import near_duplicates
 from veilframe.llm.mixing import mixed_documents
@@ -19,39 +19,49 @@ from veilframe.llm.pieces import encode_documents
 from veilframe.llm.suffix import remove_repeats
 
 
-def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs whose id is kept; null ids match null."""
-    ids = decided.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+#: Bytes of the strings that the pipeline removes: passages of just over 50 words have 285 bytes and more.
+REPEATED = 250
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling rejects go."""
-    return _only(docs, resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Documents that importance resampling rejects go. Rows without an id are judged by their text like others; an empty table stays empty."""
+    row = unused_name(docs, "_row")
+    rows = Workspace(spark, "quality").keyed(docs, "rows", row)
+    kept = resample(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=row).filter("kept").select(row)
+    return rows.join(kept.hint("merge"), row, "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows that repeat an id, one."""
-    # A null id is no id: such rows are told apart by nothing and all stay.
-    known = _only(docs.filter("doc_id is not null"), near_duplicates(docs)).dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null"))
+    """Of each group of near-duplicates the document with the smallest id stays; of rows that repeat it, one.
+
+    Rows that share an id but no text are told apart. Rows without an id, and texts without words, link with nothing and stay.
+    """
+    row = unused_name(docs, "_row")
+    rows = Workspace(spark, "near-dedup").keyed(docs, "rows", row)
+    decided = near_duplicates(rows, row_col=row).filter("kept")
+    # Only a repeated id leaves a component more than one row; rows that link with nothing are components of their own.
+    single = F.col("component_id").isNull() | (F.col("n_shingles") == 0)
+    kept = decided.select(row, "component_id", F.when(single, F.col(row)).alias("alone")).groupBy("component_id", "alone").agg(F.min(row).alias(row)).select(row)
+    return rows.join(kept.hint("merge"), row, "left_semi").select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings are cut out of the texts; every document stays, n_chars is counted again."""
-    rows = Workspace(spark, "suffix-dedup").keyed(docs, "rows", "_row")
-    cut = remove_repeats(rows, id_col="_row", full=True).select("_row", "kept_text")
-    joined = cut.join(rows.drop("text", "n_chars"), "_row").withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
-    return joined.select(docs.columns)
+    """Strings of REPEATED bytes that stand anywhere else too are cut out of the texts; every document stays, n_chars is counted again."""
+    row, text = unused_name(docs, "_row"), unused_name(docs, "_kept")
+    rows = Workspace(spark, "suffix-dedup").keyed(docs, "rows", row)
+    cut = remove_repeats(rows, id_col=row, length=REPEATED, full=True).select(row, F.col("kept_text").alias(text))
+    joined = rows.drop("text").join(cut.hint("merge"), row)
+    columns = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return joined.select(*[columns[c].alias(c) if c in columns else joined[c] for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it; repeats are rows."""
+    """Each document as often as the mix of sources takes it; repeats are rows. Texts without words are never taken."""
     return mixed_documents(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, one row per row; null and empty texts have no tokens."""
     import public_tokenizers
 
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
