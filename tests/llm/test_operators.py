@@ -350,17 +350,52 @@ def test_loser_tree():
         assert list(archives.LoserTree(runs).merged()) == sorted(x for r in runs for x in r)
 
 
+def _license_shingles(text):
+    w = [x for x in re.sub(r"[^\w]+|_", " ", (text or "").lower()).split(" ") if x]
+    return [" ".join(w[k : k + 5]) for k in range(len(w) - 4)]
+
+
+def _contained(text, template):
+    """The largest share of a template's shingles in any stretch of the text of twice its length, by trying all."""
+    own, of = set(_license_shingles(template)), _license_shingles(text)
+    span = 2 * len(template.split()) + 8
+    return max((len(own & set(of[k : k + span])) / len(own) for k in range(max(1, len(of) - span + 1))), default=0.0)
+
+
 def test_licenses(frame, corpus):
     names = list(licenses.TEMPLATES)
     rows = [(1000 + 50 * n + k, _words(random.Random(k), k) + " " + licenses.TEMPLATES[name].upper() + " " + _words(random.Random(k), 40 - k)) for n, name in enumerate(names) for k in (0, 3, 37)]
-    got = licenses.scan_licenses(frame(corpus + rows).withColumnRenamed("lang", "license")).collect()
+    whole = " ".join(licenses.TEMPLATES.values())
+    rows += [(9001, _words(random.Random(1), 30_000) + " " + whole + " " + _words(random.Random(2), 30_000)), (None, licenses.TEMPLATES["MIT"]), (9002, whole), (9002, whole)]
+    got = licenses.scan_licenses(frame(corpus + rows).withColumnRenamed("lang", "license").withColumnRenamed("source", "words")).collect()
     full = {(r.doc_id, r.license) for r in got if r.containment == 1.0}
-    assert {(i, names[(i - 1000) // 50]) for i, _ in rows} <= full
-    assert not [r for r in got if r.doc_id < 1000]
+    assert {(i, names[(i - 1000) // 50]) for i, _ in rows[: 3 * len(names)]} <= full
+    assert {(i, n) for i in (9001, 9002) for n in names} | {(None, "MIT")} <= full
+    assert [r.license for r in got if r.doc_id == 9002].count("MIT") == 2
+    assert not [r for r in got if r.doc_id is not None and r.doc_id < 1000]
+    assert {r.first_word for r in got if r.doc_id in range(1000, 4000, 50) and r.n_shingles > 3 and r.containment == 1 and names[(r.doc_id - 1000) // 50] == r.license} == {0}
     part = " ".join(licenses.TEMPLATES["MIT"].split()[:-9])
     assert {(r.license, r.n_shared < r.n_shingles) for r in licenses.scan_licenses(frame([(1, part)])).collect()} == {("MIT", True)}
 
 
+def test_licenses_equal_brute_force_on_edited_copies(frame):
+    rng, rows = random.Random(21), []
+    for n, name in enumerate(licenses.TEMPLATES):
+        for k in range(12):
+            words = licenses.TEMPLATES[name].split()
+            for _ in range(rng.randrange(0, 2 + len(words) // 16)):
+                at = rng.randrange(len(words))
+                edit = rng.randrange(3)
+                words[at : at + 1] = [] if edit == 0 else ["zzz"] if edit == 1 else [words[at], "yyy"]
+            rows.append((100 * n + k, _words(rng, rng.randrange(0, 50)) + " " + " ".join(words) + " " + _words(rng, rng.randrange(0, 50))))
+    got = {(r.doc_id, r.license): r.containment for r in licenses.scan_licenses(frame(rows)).collect()}
+    expected = {(i, name): c for i, t in rows for name, template in licenses.TEMPLATES.items() if (c := _contained(t, template)) >= 0.75}
+    assert len(expected) > 100
+    # The stretches of the operator are a little longer, so a share can only be larger.
+    assert all(got.get(k, 0) >= c - 1e-9 for k, c in expected.items())
+    assert set(got) == set(expected)
+
+
 def test_empty_tables(frame, spark):
     none = frame([])
     assert minhash.near_duplicates(none).count() == 0 and suffix.remove_repeats(none).count() == 0 and mixing.mix(none).count() == 0
