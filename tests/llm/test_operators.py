@@ -316,12 +316,61 @@ five</p><ul><li>item<li>other</ul><aside>Related</aside><form><input name=q>Sear
 
 def test_extraction(spark):
     rows = [(k, f"https://www.a.example/{k}", PAGE.replace("Three", f"Three{k}")) for k in range(4)] + [(8, None, None), (9, "x", ""), (10, "http://b.example:80/", "<p>alone"), (11, "http://b.example/", "<nav>menu</nav><script>x"), (0, "https://a.example/0", PAGE.replace("Three", "Three0"))]
-    got = extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("text", "x")).collect()
+    got = extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     main = lambda k: f"Title <x>\nOne &amp; two\nThree{k} four five\nitem\nother"
     expected = [(k, f"https://www.a.example/{k}", main(k)) for k in range(4)] + [(8, None, ""), (9, "x", ""), (10, "http://b.example:80/", "alone"), (11, "http://b.example/", ""), (0, "https://a.example/0", main(0))]
     assert sorted(((r.page_id, r.url or "", r.text, r.n_chars) for r in got)) == sorted((i, u or "", t, len(t)) for i, u, t in expected)
 
 
+def _article_page(rng, layout):
+    """A page of a layout with its known article: blocks of text, parts beside it, odd markup."""
+    word = lambda: rng.choice(["river", "stone", "caf\u00e9", "a&amp;b", "x &lt; y", "news", "&eacute;t&#233;"])
+    clean = lambda t: __import__("html").unescape(t)
+    sentence = lambda n: " ".join(word() for _ in range(n)) + "."
+    head, paras = sentence(5), [sentence(rng.randrange(20, 60)) for _ in range(rng.randrange(3, 8))]
+    odd = ["<p>", '<p class="lead" title="5" tall">', "<p title='it\u2019s'>", "<P data-x=1/>".replace("/", ""), '<p id="search-forms">']
+    body = [f"{rng.choice(odd)}{p}</p>" if rng.random() < 0.8 else f"<p>{p}" for p in paras]
+    link = lambda: f'<a href="/{word()}">{word()}</a>'
+    beside = [
+        f'<div class="ad-slot">{sentence(12)}</div>', f'<div class="related-posts"><h3>{sentence(3)}</h3><ul>' + "".join(f"<li>{link()}" for _ in range(5)) + "</ul></div>",
+        f'<aside>{sentence(30)}</aside>', f'<form><p>{sentence(8)}</p><input name=q></form>', f'<div class="share-buttons">{link()}{link()}</div>', f"<script>if (a < b) document.write('<p>{sentence(9)}</p>')</script>",
+        f'<div class="cookie-notice"><p>{sentence(20)}</p></div>', f"<!-- {sentence(5)} > -->", '<div style="display: none">hidden words</div>',
+    ]
+    for _ in range(3):
+        body.insert(rng.randrange(len(body) + 1), rng.choice(beside))
+    comments = f'<section id="comments"><div class="comment-body"><p>{sentence(80)}</p></div><div class="comment-body"><p>{sentence(60)}</p></div></section>'
+    top = f'<nav><ul><li>{link()}<li>{link()}</ul></nav><header class="site-header"><h1>{sentence(2)}</h1></header>'
+    bottom = f'<div id="sidebar"><h2>{sentence(2)}</h2><p>{sentence(25)}</p></div><footer><p>{sentence(10)}</p></footer>'
+    text = "".join(body)
+    long_part = sentence(150)
+    inner = {
+        "article": f"<article><h1>{head}</h1>{text}</article>{comments}",
+        "beside": f"<div><h1>{head}</h1><div class=content>{text}</div></div>{comments}",
+        "body": f"<article><h1>{head}</h1><div class='article-body'>{text}</div></article>{comments}",
+        "words": f"<main><article class='post'><header class=entry-header><h1>{head}</h1></header>{text}<div class='side-by-side'><p>{long_part}</p></div><section class='legal-analysis'><p>{long_part}</p></section></article></main>{comments}",
+        "plain": f"<div id=wrap><div class='content sidebar-left'><h1>{head}</h1>{text}</div></div>",
+    }[layout]
+    expected = [head, *paras] + ([long_part] * 2 if layout == "words" else [])
+    return f"<!doctype html><html><head><title>t</title><style>p > a {{}}</style></head><body>{top}{inner}{bottom}</body></html>", "\n".join(clean(x) for x in expected)
+
+
+def test_extraction_of_generated_pages(spark):
+    rng = random.Random(31)
+    rows, expected = [], {}
+    for h, layout in enumerate(["article", "beside", "body", "words", "plain"]):
+        for k in range(30):
+            page, text = _article_page(rng, layout)
+            rows.append((100 * h + k, f"https://User@www.H{h}.example:8080/{k}" if k % 2 else f"//h{h}.example/{k}", page))
+            expected[100 * h + k] = text
+    rows.append((9999, "http://h0.example/long", "<article><h1>x</h1>" + "".join(f"<p>{'word ' * 20}{k}</p>" for k in range(20_000)) + "</article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS paths", "2 AS host")
+    got = {r.page_id: r for r in extraction.extract_main_text(pages).collect()}
+    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got.values())
+    assert got[9999].text.count("\n") == 20_000
+    wrong = [(i, got[i].text, t) for i, t in expected.items() if got[i].text != t]
+    assert not wrong, (len(wrong), wrong[0])
+
+
 def test_archives(spark):
     rows = [(k, f"http://h{k % 5}.example/p{k % 3}?q", ["same", "é\r\n\r\nWARC/1.1\r\n", f"own {k}", ""][k % 4]) for k in range(40)] + [(40, None, None), (None, "http://n.example/\n", "same"), (41, "http://[bad", "x" * 100_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("x", "y")
