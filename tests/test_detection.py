@@ -51,11 +51,32 @@ def test_mobiles_in_chat(spark):
 def test_backends_agree(spark):
     texts = [t for t, _, _ in FOUND] + CLEAN + MOBILES + NOT_MOBILES
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
-    for types in (["IN_PAN", "IFSC", "PERSON", "EMAIL_ADDRESS"], ["IN_AADHAAR", "CREDIT_CARD", "AIS_DOWNLOAD_ID", "IN_MOBILE"], ["IN_ADDRESS", "IN_DATE_OF_BIRTH"]):
+    for types in (["IN_PAN", "IFSC", "TAN", "EMAIL_ADDRESS"], ["IN_AADHAAR", "CREDIT_CARD", "AIS_DOWNLOAD_ID", "IN_VOTER"], ["EPF_UAN", "IN_PASSPORT", "IN_DATE_OF_BIRTH"]):
         native, arrow = (sorted(exploded(detect(rows, types=types, backend=b), "k").collect()) for b in ("native", "arrow"))
         assert native == arrow
 
 
+def test_recognizers_of_the_caller(spark):
+    from veilframe.functions.checks import luhn
+    from veilframe.operators.patterns import PatternSpec
+
+    even = PatternSpec("EVEN", r"\b\d{3}\b", 0.3, accepts=lambda t: int(t) % 2 == 0)
+    stars = PatternSpec("STARS", guard=None, find=lambda t: [(k, k + 1, 0.9) for k, c in enumerate(t) if c == "*"])
+    native = PatternSpec("LUHN", r"\b\d{4}\b", 0.3, check=lambda t: luhn(t) & (F.length(t) == 4))
+    rows = spark.createDataFrame([(1, "123 124 * 0018 1234")], "k int, text string")
+    found = lambda *specs, **kw: {(r.entity_type, r.value) for r in exploded(detect(rows, types=[s.entity_type for s in specs], more=specs, **kw), "k").collect()}
+    assert found(even, stars) == {("EVEN", "124"), ("STARS", "*")} and found(native) == {("LUHN", "0018")}
+    for specs, backend in (((even,), "native"), ((native,), "arrow"), ((native, stars), None)):
+        with pytest.raises(ValueError):
+            found(*specs, backend=backend)
+
+
+def test_context_words_far_before_a_match(spark):
+    rows = spark.createDataFrame([(1, "account " + "x" * 300 + " is 123456789012345678"), (2, "account one two three four five 123456789012345678")], "k int, text string")
+    for backend in ("native", "arrow"):
+        assert [r.k for r in exploded(detect(rows, types=["BANK_ACCOUNT_NUMBER"], backend=backend), "k").collect()] == [1]
+
+
 def test_arguments(spark):
     rows = spark.createDataFrame([("x",)], "text string")
     for bad in ({"types": ["NO_SUCH_TYPE"]}, {"types": []}, {"threshold": 2}):

@@ -14,7 +14,7 @@ from veilframe.sources import blocks as src
 
 def test_formats(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7")
-    (tmp_path / "b.csv").write_text("name,amount\nRavi,10\nAnil,20\n")
+    (tmp_path / "b.csv").write_text("name,amount\nRavi Kumar,10\nAnil Rao,20\n")
     (tmp_path / "c.json").write_text('{"a": "x"}')
     (tmp_path / "d.json").write_text("{broken")
     (tmp_path / "e.md").write_text("# hi")
@@ -26,7 +26,7 @@ def test_formats(spark, tmp_path):
     kinds = {r.path.rpartition("/")[2]: r.doc_format for r in src.detect_format(src.read_files(spark, f"file://{tmp_path}")).collect()}
     assert kinds == {"a.pdf": "pdf", "b.csv": "csv", "c.json": "json", "d.json": None, "e.md": "text", "f.bin": None, "g.xlsx": "xlsx", "h.zip": None}
     cells = src.csv_cells(src.read_files(spark, f"file://{tmp_path}/b.csv")).orderBy("row", "col").collect()
-    assert [(r.row, r.header, r.text) for r in cells] == [(-1, "name", "name"), (-1, "amount", "amount"), (0, "name", "Ravi"), (0, "amount", "10"), (1, "name", "Anil"), (1, "amount", "20")]
+    assert [(r.row, r.header, r.text) for r in cells] == [(-1, "col_0", "name"), (-1, "col_1", "amount"), (0, "name", "Ravi Kumar"), (0, "amount", "10"), (1, "name", "Anil Rao"), (1, "amount", "20")]
 
 
 def test_markdown_front_matter(spark):

@@ -91,8 +91,3 @@ def output_spans(spans: Column, mark: Callable[[Column], Column]) -> Column:
         return F.struct((acc["shift"] + n - (x["e"] - x["s"])).alias("shift"), F.array_append(acc["out"], span(s, s + n)).alias("out"))
 
     return F.aggregate(spans, F.struct(F.lit(0).alias("shift"), F.array().cast(SPANS).alias("out")), step)["out"]
-
-
-def blanked(text: Column, pattern: str) -> Column:
-    """The text with every match replaced by as many spaces."""
-    return splice(text, match_spans(text, pattern), lambda x: F.repeat(F.lit(" "), x["e"] - x["s"]))

@@ -77,35 +77,47 @@ def compiled(specs: tuple[PatternSpec, ...]) -> list[tuple]:
         flags = regex.MULTILINE | (regex.DOTALL | regex.IGNORECASE if s.flags == ANY_CASE else 0)
         lead = regex.compile(s.lead) if s.lead else None
         words = regex.compile("|".join(map(regex.escape, s.context))) if s.context else None
-        out.append((s, regex.compile(s.pattern, flags), regex.compile(s.guard, regex.MULTILINE) if s.guard else None, lead, words))
+        accepts = s.accepts or (CHECKS[s.check] if s.check is not None else None)
+        pattern = None if s.find else regex.compile(s.pattern, flags)
+        out.append((s, pattern, regex.compile(s.guard, regex.MULTILINE) if s.guard else None, lead, words, accepts))
     return out
 
 
-def findings_of(text: str, label: str | None, specs: list[tuple], threshold: float, boosted: Callable[[float], float], words_before: int, chars_before: int) -> list[Finding]:
+def words_before(text: str, place: int, n: int) -> list[str]:
+    """The last ``n`` words before a place, the latest first."""
+    out: list[str] = []
+    while len(out) < n and place > 0:
+        while place > 0 and text[place - 1].isspace():
+            place -= 1
+        end = place
+        while place > 0 and not text[place - 1].isspace():
+            place -= 1
+        if end > place:
+            out.append(text[place:end])
+    return out
+
+
+def findings_of(text: str, label: str | None, specs: list[tuple], threshold: float, boosted: Callable[[float], float], near_words: int) -> list[Finding]:
     """All findings at or above the threshold, unresolved."""
     found: list[Finding] = []
-    for spec, pattern, guard, lead, context in specs:
+    for spec, pattern, guard, lead, context, accepts in specs:
         if guard is not None and not guard.search(text):
             continue
-        for m in pattern.finditer(text):
-            start, end = m.span()
+        for start, end, score in spec.find(text) if spec.find else ((*m.span(), spec.score) for m in pattern.finditer(text)):
             if lead is not None and (skip := lead.match(text, start, end)):
                 start = skip.end()
             if end <= start:
                 continue
-            score = spec.score
-            if spec.check is not None:
-                score = 1.0 if CHECKS[spec.check](text[start:end]) else 0.0
-            elif context is not None:
-                near = text[max(0, start - chars_before) : start].split()[-words_before:]
-                if context.search(" ".join([label or "", *near, text[start:end]]).lower()):
-                    score = boosted(score)
+            if accepts is not None:
+                score = 1.0 if accepts(text[start:end]) else 0.0
+            elif context is not None and context.search(" ".join([label or "", *reversed(words_before(text, start, near_words)), text[start:end]]).lower()):
+                score = boosted(score)
             if score >= threshold:
                 found.append((spec.reported_as or spec.entity_type, start, end, score))
     return found
 
 
-def findings_column(text: Column, label: Column | None, specs: tuple[PatternSpec, ...], threshold: float, boosted, words_before: int, chars_before: int, resolved: bool) -> Column:
+def findings_column(text: Column, label: Column | None, specs: tuple[PatternSpec, ...], threshold: float, boosted, near_words: int, resolved: bool) -> Column:
     """The findings of a text column, computed in Arrow batches."""
 
     @F.pandas_udf(FINDINGS)
@@ -113,7 +125,7 @@ def findings_column(text: Column, label: Column | None, specs: tuple[PatternSpec
         ready = compiled(specs)
 
         def one(text: str, label: str | None) -> list[dict]:
-            found = findings_of(text, label, ready, threshold, boosted, words_before, chars_before) if text else []
+            found = findings_of(text, label, ready, threshold, boosted, near_words) if text else []
             found = resolve(found) if resolved else sorted(set(found), key=lambda f: (f[1], f[0], f[2]))
             return [{"entity_type": t, "s": s, "e": e, "score": score} for t, s, e, score in found]
 

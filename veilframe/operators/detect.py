@@ -13,7 +13,7 @@ from veilframe.operators.patterns import PatternSpec, allowed, specs_for
 
 THRESHOLD = 0.5
 BOOST, FLOOR = 0.35, 0.4
-WORDS_BEFORE, CHARS_BEFORE = 5, 120
+WORDS_BEFORE = 5
 MAX_CHARS = 1_000_000
 #: More recognizers than this are run by the Arrow backend unless a caller says otherwise.
 NATIVE_AT_MOST = 8
@@ -26,8 +26,7 @@ def boosted(score: float) -> float:
 
 def context_before(text: Column, x: Column, label: Column | None = None) -> Column:
     """A label, the last words before a span, and the span itself, lower case."""
-    near = F.substring(text, F.greatest(x["s"] - CHARS_BEFORE, F.lit(0)) + 1, F.least(x["s"], F.lit(CHARS_BEFORE)))
-    words = F.filter(F.split(near, r"(?U)\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.substring(text, F.lit(1), x["s"]), r"(?U)\s+"), lambda w: w != "")
     last = F.slice(words, F.greatest(F.size(words) - WORDS_BEFORE, F.lit(0)) + 1, WORDS_BEFORE)
     parts = [F.array_join(last, " "), covered(text, x)]
     return F.lower(F.concat_ws(" ", *([label] if label is not None else []), *parts))
@@ -91,21 +90,28 @@ def resolve(findings: Column) -> Column:
     return F.when(F.size(findings) < 2, findings).otherwise(bound(bound(findings, unions), lambda u: by_start(placed(u))))
 
 
-def detect(df: DataFrame, text_col: str = "text", doc_type: str | None = None, types: list[str] | None = None, threshold: float = THRESHOLD, label_col: str | None = None, out: str = "findings", resolved: bool = True, backend: str | None = None) -> DataFrame:
+def detect(df: DataFrame, text_col: str = "text", doc_type: str | None = None, types: list[str] | None = None, threshold: float = THRESHOLD, label_col: str | None = None, out: str = "findings", resolved: bool = True, backend: str | None = None, more: tuple[PatternSpec, ...] = ()) -> DataFrame:
     """Adds the findings of each text. Null texts and texts without a letter or digit have none; texts over a million characters fail.
 
-    Only recognizers of allowed types are compiled. ``backend`` is 'native' (expressions, a few recognizers to a projection) or 'arrow'
-    (batches in Python); unset, their number decides.
+    Only recognizers of allowed types are compiled, of the registry and, for types that are asked for, of ``more``. ``backend`` is 'native'
+    (expressions, a few recognizers to a projection) or 'arrow' (batches in Python); unset, their number decides, and recognizers
+    that are functions of the text take Arrow.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("a threshold is between 0 and 1")
-    specs = specs_for(types if types is not None else list(allowed(doc_type)))
+    specs = specs_for(types if types is not None else [*allowed(doc_type), *(s.entity_type for s in more)], more)
+    arrow_only = [s.entity_type for s in specs if s.find or s.accepts]
+    native_only = [s.entity_type for s in specs if s.check is not None and s.check not in arrow_detect.CHECKS and not s.accepts]
+    backend = backend or ("arrow" if arrow_only or len(specs) > NATIVE_AT_MOST and not native_only else "native")
+    unfit = arrow_only if backend == "native" else native_only
+    if unfit:
+        raise ValueError(f"these recognizers have no {backend} form: {', '.join(dict.fromkeys(unfit))}")
     text = F.coalesce(F.col(text_col), F.lit(""))
     checked = F.when(F.length(text) > MAX_CHARS, F.raise_error(F.lit(f"a text is longer than {MAX_CHARS} characters")).cast("string")).otherwise(F.when(text.rlike(r"[\p{L}\p{N}]"), text).otherwise(F.lit("")))
     kept = df.columns
     label = F.col(label_col) if label_col else None
-    if (backend or ("native" if len(specs) <= NATIVE_AT_MOST else "arrow")) == "arrow":
-        column = arrow_detect.findings_column(checked, label, specs, threshold, boosted, WORDS_BEFORE, CHARS_BEFORE, resolved)
+    if backend == "arrow":
+        column = arrow_detect.findings_column(checked, label, specs, threshold, boosted, WORDS_BEFORE, resolved)
         return df.select(*[c for c in kept if c != out], column.alias(out))
     step = df.withColumn("_text", checked)
     parts = []

@@ -18,9 +18,9 @@ ID_TYPES = (
     "IN_AADHAAR AIS_DOWNLOAD_ID IFSC UPI_ID BANK_ACCOUNT_NUMBER DEMAT_DP_ID TAN CIN EPF_UAN CKYC_NUMBER MF_FOLIO_NUMBER DRIVING_LICENSE IN_PASSPORT ITR_ACK_NUMBER RATION_CARD_NUMBER "
     "PHONE_NUMBER IN_PAN EMAIL_ADDRESS CREDIT_CARD IN_GSTIN IN_VOTER IN_VEHICLE_REGISTRATION"
 ).split()
-MIN_ID_CHARS, MIN_NAME_LETTERS = 8, 6
+MIN_ID_CHARS, MIN_NAME_LETTERS = 8, 5
 NAME_WORD = r"[\p{L}\p{M}]+"
-ID_RUN = r"(?U)[\w.+@/#*\-]+"
+ID_RUN = r"(?U)[\w.+@#*\-]+"  # a slash ends a run, as in UPI/<number>/ref
 ID_EDGES = r"[._\-+*#]+"
 
 

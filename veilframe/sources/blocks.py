@@ -120,14 +120,15 @@ def _csv_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r, row in enumerate(rows, -1 if has_header else 0):
                 for c, value in enumerate(row):
                     if value.strip():
-                        for column, v in zip(out, (doc, r, c, header[c] if c < len(header) else f"col_{c}", value)):
+                        named = r >= 0 and c < len(header)
+                        for column, v in zip(out, (doc, r, c, header[c] if named else f"col_{c}", value)):
                             column.append(v)
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
 
 def csv_cells(files: DataFrame) -> DataFrame:
-    """Cells of CSV files that are not blank; row -1 is the header, columns without one are col_N."""
+    """Cells of CSV files that are not blank; row -1 is the header, whose cells, like columns without one, are under col_N."""
     return files.select(F.col("path").alias("doc_id"), "content").mapInArrow(_csv_cells, CELLS)
 
 
