@@ -69,3 +69,57 @@ def test_names_are_cut_before_digits(spark):
 def test_capitalised_pairs(spark):
     rows = names.capitalised_pairs(_texts(spark, "Please call Ravi Kumar today", "nothing here")).select("k", F.explode("names").alias("f")).collect()
     assert [(r.k, r.f.s, r.f.e) for r in rows] == [(0, 12, 22)]
+
+
+def test_a_writer_that_died_blocks_nobody_and_readers_see_whole_versions(spark, tmp_path):
+    store = MappingStore(spark, f"file://{tmp_path}/store")
+    _run(spark, store, "Mr. Ravi Kumar")
+    (tmp_path / "store" / "v-dead").mkdir()
+    (tmp_path / "store" / "pending-dead").write_text("{")
+    first = store.version()
+    assert _run(spark, store, "Mr. Anil Rao") == ["Mr. PERSON_B"] and store.version() != first
+    with pytest.raises(RuntimeError):
+        store._publish(2, {"version": first, "batches": {}})
+    assert sorted(p.name for p in (tmp_path / "store" / "commits").iterdir() if not p.name.startswith(".")) == ["000000000001", "000000000002"]
+
+
+def test_a_repeated_batch_issues_nothing(spark, tmp_path):
+    store = MappingStore(spark, f"file://{tmp_path}/store")
+    seen = lambda *names: anonymize.sightings(detect(_texts(spark, *names), types=["PERSON"]), ["k"])
+    store.issue(seen("Mr. Ravi Kumar"), ("stream", 4))
+    version = store.version()
+    assert store.issue(seen("Mr. Anil Rao"), ("stream", 4)).count() == 1 and store.version() == version
+    assert store.issue(seen("Mr. Anil Rao"), ("stream", 5)).count() == 2
+    assert store.issue(seen("Mr. Vijay Rao"), ("other", 0)).count() == 3
+
+
+def test_codes_split_over_chunks_are_reversed(spark):
+    from veilframe.streaming.chat import whole_chunks
+
+    parts = ["Ask PER", "SON", "_A", "B, PERSON_", "A or IN_PAN_A", ". I", "N", " PERSON_A"]
+    chunks = spark.createDataFrame([(1, n, t) for n, t in enumerate(parts)] + [(2, 0, None), (3, 0, "X")], "reply int, seq int, text string")
+    mapping = spark.createDataFrame([("PERSON", "RAVI", "Ravi", "PERSON_A", 1), ("PERSON", "ANIL", "Anil", "PERSON_AB", 28), ("IN_PAN", "P", "P", "IN_PAN_A", 1)], anonymize.MAPPING)
+    whole = whole_chunks(chunks, "reply", "seq").withColumn("id", F.struct("reply", "seq"))
+    rows = anonymize.reverse(whole, mapping, "id").orderBy("reply", "seq").collect()
+    assert "".join(r.reversed for r in rows if r.reply == 1) == "Ask Anil, Ravi or P. IN Ravi"
+    assert "".join(r.text for r in rows if r.reply == 1) == "".join(parts) and [r.reversed for r in rows if r.reply > 1] == ["", "X"]
+    assert not any(r.text.endswith(("PER", "PERSON", "PERSON_A", "PERSON_")) for r in rows[:-3])
+
+
+def test_ordinals_follow_first_sight_over_many_ranges(spark):
+    rows = spark.range(5000).select(F.struct((4999 - F.col("id")).alias("at")).alias("place"), F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("entity_type"), F.col("id").cast("string").alias("value"), F.col("id").cast("string").alias("display"))
+    empty = spark.createDataFrame([], anonymize.MAPPING), spark.createDataFrame([], "entity_type string, last_ordinal long")
+    after, counters = anonymize.issue_codes(rows.repartition(16), *empty)
+    got = {r.value: r.ordinal for r in after.collect()}
+    assert all(got[str(k)] == (4999 - k) // 2 + 1 for k in range(5000)) and {r.last_ordinal for r in counters.collect()} == {2500}
+
+
+def test_a_publishing_run_that_would_withdraw_most_is_an_error(spark):
+    from veilframe.plans import reports
+
+    manifest = spark.createDataFrame([(k, "published", "h", "") for k in range(10)], "source_id int, status string, source_hash string, held_source_hash string")
+    sources = lambda n: spark.createDataFrame([(k, "h") for k in range(n)], "source_id int, content_hash string")
+    assert {r.action for r in reports.publishable(sources(6), manifest).collect()} == {"skip", "withdraw"}
+    assert reports.publishable(sources(0), manifest).count() == 0
+    with pytest.raises(ValueError):
+        reports.publishable(sources(2), manifest)

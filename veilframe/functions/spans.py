@@ -77,10 +77,11 @@ def outside(x: Column, holes: Column) -> Column:
 
 
 def splice(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
-    """The text with each of sorted, disjoint spans replaced by ``mark`` of it."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    step = lambda acc, x: F.struct(x["e"].alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, x["s"] - acc["pos"]), mark(x)).alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    """The text with each of sorted, disjoint spans replaced by ``mark`` of it. Pieces are built side by side and joined once."""
+    before = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["e"].cast("int")))
+    pieces = F.zip_with(F.slice(before, 1, F.size(spans)), spans, lambda p, x: F.concat(F.substring(text, p + 1, x["s"] - p), mark(x)))
+    tail = F.substring(text, F.element_at(before, -1) + 1, F.length(text))
+    return F.when(spans.isNotNull(), F.array_join(F.concat(pieces, F.array(tail)), ""))
 
 
 def output_spans(spans: Column, mark: Callable[[Column], Column]) -> Column:

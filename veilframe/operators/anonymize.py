@@ -16,6 +16,19 @@ MAPPING = "entity_type string, value string, display string, code string, ordina
 TOKEN = r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9_]*_[A-Z]+(?![A-Za-z0-9_])"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A table that is computed once and read from the shared folder by all that follows: spark.checkpoint.dir, or one in the warehouse."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
+
+
+def writable(blocks: DataFrame, markdown: bool = False) -> DataFrame:
+    """The blocks that anonymizing may change: read-only ones (results of formulas, names of a workbook) only where the output is markdown."""
+    return blocks if markdown else blocks.filter(~F.coalesce("read_only", F.lit(False)))
+
+
 def redact(df: DataFrame, text_col: str = "text", findings_col: str = "findings", out: str = "redacted") -> DataFrame:
     """Adds the text with each finding replaced by its type in angle brackets."""
     return df.withColumn(out, splice(F.col(text_col), F.col(findings_col), lambda f: F.concat(F.lit("<"), f["entity_type"], F.lit(">"))))
@@ -47,8 +60,13 @@ def issue_codes(seen: DataFrame, mapping: DataFrame, counters: DataFrame) -> tup
     known = mapping.select("entity_type", "value", F.col("display").alias("known_display"), "code", "ordinal")
     joined = values.join(known, ["entity_type", "value"], "full")
     fresh = joined.filter("code is null").join(F.broadcast(counters), "entity_type", "left")
-    number = F.row_number().over(Window.partitionBy("entity_type").orderBy("place"))
-    fresh = fresh.withColumn("ordinal", (F.coalesce("last_ordinal", F.lit(0)) + number).cast("long")).withColumn("code", code_of(F.col("entity_type"), F.col("ordinal"))).drop("last_ordinal")
+    # Numbered per range of places, so that one type's values are not in one task; each range starts after those before it.
+    fresh = settled(fresh.repartitionByRange("entity_type", "place").withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy("entity_type").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = fresh.groupBy("entity_type", "_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    number = F.col("_start") + F.row_number().over(Window.partitionBy("entity_type", "_part").orderBy("place"))
+    fresh = fresh.join(starts, ["entity_type", "_part"]).withColumn("ordinal", (F.coalesce("last_ordinal", F.lit(0)) + number).cast("long"))
+    fresh = fresh.withColumn("code", code_of(F.col("entity_type"), F.col("ordinal"))).drop("last_ordinal", "_part", "_start")
     base = F.coalesce(F.nullif("known_display", F.lit("")), F.col("first"), F.col("value"))
     shown = lambda d: d.select("entity_type", "value", display_of(base, F.col("mixed")).alias("display"), "code", "ordinal")
     after = shown(joined.filter("code is not null")).unionByName(shown(fresh))

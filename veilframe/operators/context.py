@@ -67,6 +67,24 @@ def detect_on_pages(blocks: DataFrame, doc_type: str | None = None, types: list[
     return joined.select(*blocks.columns, merge_passes(F.col("_alone"), inside).alias("findings"))
 
 
+#: Formats whose blocks have neighbours on a page, and those whose blocks have labels.
+POSITIONED, LABELLED = ("pdf", "image"), ("csv", "xlsx", "json")
+
+
+def detect_all(blocks: DataFrame, doc_type: str | None = None, types: list[str] | None = None) -> DataFrame:
+    """Blocks of any formats with ``findings``, each read as its ``doc_format`` asks: with its neighbours, with its ``label``, or by itself.
+
+    ``blocks`` has the columns of page_windows, doc_format and label; what a format does not use may be null.
+    """
+    from veilframe.operators.detect import detect
+
+    form = F.coalesce("doc_format", F.lit(""))
+    pages = detect_on_pages(blocks.filter(form.isin(*POSITIONED)), doc_type, types)
+    cells = detect(blocks.filter(form.isin(*LABELLED)), "text", doc_type, types, label_col="label")
+    plain = detect(blocks.filter(~form.isin(*POSITIONED, *LABELLED)), "text", doc_type, types)
+    return pages.unionByName(cells).unionByName(plain)
+
+
 def merge_passes(alone: Column, windowed: Column) -> Column:
     """Findings of a block alone and with its context: context adds findings, or widens the first of its type that it overlaps, never less."""
 

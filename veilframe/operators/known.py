@@ -24,6 +24,11 @@ ID_RUN = r"(?U)[\w.+@#*\-]+"  # a slash ends a run, as in UPI/<number>/ref
 ID_EDGES = r"[._\-+*#]+"
 
 
+def swept_types(types: Column) -> Column:
+    """Of the types asked for those that known values are swept for."""
+    return F.array_sort(F.array_intersect(types, F.array(*map(F.lit, [NAME_TYPE, *ID_TYPES]))))
+
+
 def dictionary(values: DataFrame) -> DataFrame:
     """Values (entity_type, value) that may be swept for: names of two words or more without digits, ids of eight characters or more."""
     from veilframe.operators.names import is_not_a_name_word

@@ -80,9 +80,15 @@ def _luhn(column: str) -> str:
 
 
 def _suffix(n: str) -> str:
-    """SQL for the letters of an ordinal up to 18278."""
+    """SQL for the letters of an ordinal up to 12356630."""
     c = lambda e: f"chr(CAST(65 + ({e}) % 26 AS INT))"
-    return f"CASE WHEN {n} <= 26 THEN {c(f'{n} - 1')} WHEN {n} <= 702 THEN concat({c(f'({n} - 27) // 26')}, {c(f'{n} - 27')}) ELSE concat({c(f'({n} - 703) // 676')}, {c(f'({n} - 703) // 26')}, {c(f'{n} - 703')}) END"
+    cases, before = [f"WHEN {n} < 1 THEN ''"], 0
+    for letters in range(1, 6):
+        # Numbers of so many letters start after those of fewer.
+        digits = ", ".join(c(f"({n} - {before + 1}) // {26 ** k}") for k in reversed(range(letters)))
+        before += 26**letters
+        cases.append(f"WHEN {n} <= {before} THEN concat({digits})")
+    return f"CASE {' '.join(cases)} END"
 
 
 _EMAIL = r"[\p{L}\p{M}\p{N}_.+-]+@[\p{L}\p{M}\p{N}_-]+(?:\.[\p{L}\p{M}\p{N}_-]+)+"
@@ -213,9 +219,9 @@ def normalize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", *[values.normalize_value(F.lit(t), F.col(c)).alias(c) for c, t in (("phone", "PHONE_NUMBER"), ("person", "PERSON"), ("other", "IN_PAN"))])
 
 
-@query(f"SELECT p_partkey AS k, {_suffix('p_partkey')} AS letters FROM part WHERE p_partkey BETWEEN 1 AND 18278")
+@query(f"SELECT p_partkey AS k, {_suffix('p_partkey')} AS letters FROM part")
 def letter_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter("p_partkey BETWEEN 1 AND 18278").select(F.col("p_partkey").alias("k"), values.letter_suffix(F.col("p_partkey")).alias("letters"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), values.letter_suffix(F.col("p_partkey")).alias("letters"))
 
 
 def _empty(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +231,8 @@ def _empty(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 def _coded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Derived texts with findings, and the mapping that a first batch of them makes."""
     found = detect(synth(spark, sf_dir).select("k", "text"), types=["IN_PAN", "EMAIL_ADDRESS", "IFSC"], backend="arrow")
-    return found, anonymize.issue_codes(anonymize.sightings(found, ["k"]), *_empty(spark))[0]
+    found = anonymize.settled(found)
+    return found, anonymize.settled(anonymize.issue_codes(anonymize.sightings(found, ["k"]), *_empty(spark))[0])
 
 
 _CODES = f"""
@@ -350,11 +357,11 @@ def spatial_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CELLS = """SELECT p_partkey // 20 AS doc_id, (p_partkey % 20) // 4 AS r, p_partkey % 4 AS c,
-  CASE WHEN p_partkey % 4 = 1 OR (p_partkey % 20) // 4 = 0 THEN concat('field_', chr(CAST(97 + p_partkey % 26 AS INT))) ELSE concat('v', CAST(p_partkey AS VARCHAR)) END AS text FROM part WHERE p_partkey % 7 <> 0"""
+  CASE WHEN p_partkey % 4 = 1 OR (p_partkey % 20) // 4 = 0 THEN concat('field_', chr(CAST(97 + p_partkey % 26 AS INT))) ELSE concat('v', CAST(p_partkey AS VARCHAR)) END AS text FROM part"""
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter("p_partkey % 7 <> 0").selectExpr(
+    return table(spark, sf_dir, "part").selectExpr(
         "p_partkey div 20 AS doc_id", "cast(floor((p_partkey % 20) / 4) as int) AS row", "cast(p_partkey % 4 as int) AS col",
         "CASE WHEN p_partkey % 4 = 1 OR floor((p_partkey % 20) / 4) = 0 THEN concat('field_', chr(cast(97 + p_partkey % 26 as int))) ELSE concat('v', cast(p_partkey as string)) END AS text",
     )
@@ -469,11 +476,10 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.manifest_diff(sources, manifest.withColumn("held_source_hash", F.col("source_hash")))
 
 
-@query(r"""WITH p AS (SELECT doc_id, list_filter(string_split_regex(text, '\n[ \t]*\n'), lambda x: regexp_matches(x, '\S')) AS p FROM documents WHERE NOT regexp_matches(text, '\r'))
+@query(r"""WITH p AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\r?\n[ \t]*\r?\n'), lambda x: regexp_matches(x, '\S')) AS p FROM documents)
 SELECT doc_id, CAST(len(p) AS BIGINT) AS n_blocks, CAST(list_sum(list_transform(p, lambda x: length(x))) AS BIGINT) AS n_chars FROM p WHERE len(p) > 0""")
 def paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").contains("\r"))
-    return src.paragraphs(docs).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))
+    return src.paragraphs(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @query(r"""SELECT n_regionkey AS region, concat('| n_nationkey | n_name |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', CAST(n_nationkey AS VARCHAR), ' | ', n_name, ' |'), chr(10) ORDER BY n_nationkey)) AS markdown FROM nation GROUP BY n_regionkey""")
@@ -516,3 +522,78 @@ def findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text").filter(F.col("text").contains("@"))
     found = detect(docs, types=["EMAIL_ADDRESS"]).select("lang", "source", F.explode("findings").alias("f"))
     return found.rollup("lang", "source").agg(F.count("*").alias("n"))
+
+
+# --- runs
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(o_custkey AS BIGINT) AS block_index FROM orders WHERE o_orderstatus <> 'F'")
+def writable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that anonymizing may change: none that are read-only."""
+    blocks = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "cast(o_custkey as long) AS block_index", "o_orderstatus = 'F' AS read_only")
+    return anonymize.writable(blocks).drop("read_only")
+
+
+@query("""SELECT count(*) AS n_documents, count(*) FILTER (o_orderstatus = 'O') AS n_written, count(*) FILTER (o_orderstatus = 'P') AS n_held, count(*) FILTER (o_orderstatus = 'F') AS n_failed,
+  CAST(sum(o_orderkey % 5) AS BIGINT) AS n_replaced FROM orders""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = table(spark, sf_dir, "orders").selectExpr("CASE o_orderstatus WHEN 'O' THEN 'written' WHEN 'P' THEN 'held' ELSE 'failed' END AS status", "o_orderkey % 5 AS n_replaced")
+    return reports.run_summary(outcomes)
+
+
+@query("""WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE 'h' END AS h FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT coalesce(s.o_orderkey, m.id) AS source_id, CASE WHEN s.o_orderkey IS NULL THEN 'withdraw' WHEN m.h = 'h' THEN 'skip' ELSE 'publish' END AS action FROM (SELECT * FROM orders WHERE o_orderkey % 5 <> 0) s FULL JOIN m ON s.o_orderkey = m.id""")
+def publish_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a publishing run does with each source."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"))
+    sources = orders.filter("source_id % 5 <> 0").withColumn("content_hash", F.lit("h"))
+    manifest = orders.filter("source_id % 7 <> 0").selectExpr("source_id", "'published' AS status", "CASE WHEN source_id % 3 = 0 THEN 'x' ELSE 'h' END AS source_hash", "'' AS held_source_hash")
+    return reports.publishable(sources, manifest)
+
+
+@query("""SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'form16' WHEN 1 THEN 'ais' ELSE 'generic' END AS doc_type FROM customer""")
+def folder_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of documents by their folders."""
+    paths = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "CASE c_custkey % 4 WHEN 0 THEN 'Form16/a/b.pdf' WHEN 1 THEN 'ais/x.pdf' WHEN 2 THEN 'other/y.pdf' ELSE 'ais' END AS path")
+    return paths.select("k", reports.folder_type(F.col("path"), list(ALLOW_LISTS)).alias("doc_type"))
+
+
+@query("""SELECT o_orderkey AS k, concat('failed on ', o_orderpriority, ' at ', CAST(o_orderdate AS DATE)) AS message, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, '' AS nothing FROM orders""")
+def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in one line, dates as ISO, null as nothing."""
+    orders = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    message = F.concat(F.lit("  failed\n on "), F.col("o_orderpriority"), F.lit("\t at "), F.col("day").cast("string"), F.lit(" \n"))
+    return orders.select(F.col("o_orderkey").alias("k"), reports.failure_text(message).alias("message"), reports.plain(F.col("day")).alias("day"), reports.plain(F.lit(None)).alias("nothing"))
+
+
+@query("SELECT DISTINCT doc_type, t AS entity_type FROM (VALUES ('PERSON'), ('IN_PAN'), ('IFSC'), ('EMAIL_ADDRESS')) x(t), (SELECT DISTINCT lang AS doc_type FROM documents)")
+def swept_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the types asked for those that known values are swept for."""
+    asked = table(spark, sf_dir, "documents").select(F.col("lang").alias("doc_type")).distinct().withColumn("types", F.array(*map(F.lit, ["IN_ADDRESS", "PERSON", "IN_DATE_OF_BIRTH", "IN_PAN", "IFSC", "EMAIL_ADDRESS"])))
+    return asked.select("doc_type", F.explode(known.swept_types(F.col("types"))).alias("entity_type"))
+
+
+@query(f"""WITH {_SYNTH}, f AS (SELECT k, CASE k % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'pdf' ELSE 'text' END AS doc_format, pan FROM texts)
+SELECT k, CASE doc_format WHEN 'text' THEN NULL ELSE 'IN_PASSPORT' END AS entity_type FROM f""")
+def detect_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number that only a label or a neighbour makes a passport: in a cell, on a page, and in a text, where nothing does."""
+    base = synth(spark, sf_dir).select("k", F.concat(F.lit("K"), F.lpad(F.pmod("k", F.lit(10_000_000)).cast("string"), 7, "0")).alias("number"))
+    form = F.when(F.col("k") % 3 == 0, "csv").when(F.col("k") % 3 == 1, "pdf").otherwise("text")
+    box = lambda x: [F.lit(v).cast("double").alias(c) for c, v in (("x0", x), ("y0", 0), ("x1", x + 50), ("y1", 10))]
+    block = base.select("k", F.col("k").alias("doc_id"), F.lit(0).alias("page"), F.lit(1).alias("block_index"), form.alias("doc_format"), F.col("number").alias("text"), F.lit("passport").alias("label"), *box(60))
+    beside = base.filter("k % 3 = 1").select("k", F.col("k").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("block_index"), F.lit("pdf").alias("doc_format"), F.lit("Passport").alias("text"), F.lit(None).cast("string").alias("label"), *box(0))
+    found = context.detect_all(block.unionByName(beside), types=["IN_PASSPORT", "IN_PAN"]).filter("block_index = 1")
+    return found.select("k", F.try_element_at("findings", F.lit(1))["entity_type"].alias("entity_type"))
+
+
+@query("""SELECT conv_id, turn, concat('#', CAST(turn AS VARCHAR), ' ', coalesce(text, '')) AS text FROM conversations""")
+def streamed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages cut into chunks in the middle of words, moved to boundaries and put together again: the messages there were."""
+    from veilframe.streaming.chat import whole_chunks
+
+    msgs = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.concat(F.lit("#"), F.col("turn").cast("string"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    size = 7
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size)), lambda i: F.substring(F.col("text"), (i * size + 1).cast("int"), F.lit(size)))
+    chunks = msgs.select("id", F.posexplode(parts).alias("seq", "text"))
+    whole = whole_chunks(chunks, "id", "seq").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("c"))
+    return whole.select("id.conv_id", "id.turn", F.array_join(F.transform("c", lambda x: x["text"]), "").alias("text"))

@@ -47,11 +47,48 @@ def manifest_diff(sources: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, column: str, shares: dict[str, float], *keys: str) -> DataFrame:
-    """Nearest-rank percentiles per key and the maximum."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(column))).withColumn("_n", F.count("*").over(w))
-    picks = [F.max(F.when(F.col("_r") == F.greatest(F.ceil(F.col("_n") * F.lit(s)), F.lit(1)), F.col(column))).alias(name) for name, s in shares.items()]
-    return ranked.groupBy(*keys).agg(*picks, F.max(column).alias("max"))
+    """Nearest-rank percentiles per key and the maximum, from counts of values that are added up before they are shuffled."""
+    picks = [F.expr(f"percentile_disc({float(share)}) WITHIN GROUP (ORDER BY {column})").alias(name) for name, share in shares.items()]
+    return df.groupBy(*keys).agg(*picks, F.max(column).alias("max"))
+
+
+def run_summary(outcomes: DataFrame) -> DataFrame:
+    """(n_documents, n_written, n_held, n_failed, n_replaced) of a run's outcomes (status, n_replaced)."""
+    count = lambda status: F.count_if(F.col("status") == status)
+    return outcomes.agg(
+        F.count("*").alias("n_documents"), count("written").alias("n_written"), count("held").alias("n_held"), count("failed").alias("n_failed"),
+        F.coalesce(F.sum("n_replaced"), F.lit(0)).cast("long").alias("n_replaced"),
+    )
+
+
+def failure_text(message: Column, most: int = 300) -> Column:
+    """What went wrong in one line of at most ``most`` characters."""
+    return F.left(F.trim(F.regexp_replace(message, r"(?U)\s+", " ")), F.lit(most))
+
+
+def plain(value: Column) -> Column:
+    """A cell as text: dates as ISO, null as nothing."""
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def folder_type(path: Column, known: list[str], otherwise: str = "generic") -> Column:
+    """The type of a document by the first folder of its path below the inbox, if it is a known one."""
+    folder = F.when(F.contains(path, F.lit("/")), F.lower(F.substring_index(path, "/", 1)))
+    return F.when(folder.isin(known), folder).otherwise(otherwise)
+
+
+def publishable(sources: DataFrame, manifest: DataFrame, gone_at_most: float = 0.5) -> DataFrame:
+    """(source_id, action) of a publishing run: publish, skip or withdraw.
+
+    An empty source withdraws nothing (see manifest_diff); a run that would withdraw more than a share of what is published is an error,
+    as a folder that moved is more likely than that so much was deleted.
+    """
+    states = manifest_diff(sources, manifest)
+    gone, published = states.filter("state = 'gone'").count(), manifest.filter("status = 'published'").count()
+    if published and gone > gone_at_most * published:
+        raise ValueError(f"{gone} of {published} published documents have no source; nothing was withdrawn")
+    action = F.when(F.col("state").isin("new", "changed"), "publish").when(F.col("state") == "gone", "withdraw").otherwise("skip")
+    return states.select("source_id", action.alias("action"))
 
 
 def write_back(blocks: DataFrame, replacements: DataFrame) -> DataFrame:

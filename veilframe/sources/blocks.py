@@ -197,6 +197,26 @@ def sheet_cells(content: bytes) -> Iterator[tuple[str, int, int, str, str, bool]
             yield "", 0, 0, "defined_name", name.get("name") or "", True
 
 
+CELL_BLOCKS = "doc_id string, block_index int, sheet string, row int, col int, kind string, text string, read_only boolean"
+
+
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """One row per string cell, formula result, comment and defined name of workbooks (path, content); the latter two kinds of result are read-only.
+
+    A file that is no workbook fails the query.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = [(path, n, *cell) for n, cell in enumerate(sheet_cells(content))]
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
+                names = [c.split()[0] for c in CELL_BLOCKS.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    return files.select("path", "content").mapInArrow(run, CELL_BLOCKS)
+
+
 def ocr_lines(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "block_num", "par_num", "line_num")) -> DataFrame:
     """Lines of recognized words: texts joined by blanks in order of word_num, box around them."""
     ordered = F.array_sort(F.collect_list(F.struct("word_num", "text")))
