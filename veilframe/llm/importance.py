@@ -256,16 +256,20 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     common, own = toxic_levels(held)
     toxic_level = F.coalesce(F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.col("lang")], F.lit(common)) if own else F.lit(float(common))
     over = F.col("evidence") / toxic_level
-    scored = scored.withColumn("toxic", F.when(over >= 1, F.least(over, F.lit(MOST_EVIDENCE))).otherwise(0.0)).drop("lang", "evidence")
+    scored = scored.withColumn("toxic", F.when(over >= 1, F.least(over, F.lit(MOST_EVIDENCE))).otherwise(0.0)).drop("evidence")
     target = ((held.quality == 1) & ~held.toxic).to_numpy()
     decided = fitted and target.any() and not target.all()
     held_over = held.evidence / held.lang.map(own).fillna(common)
-    features = np.column_stack([held.ratio, np.where(held_over >= 1, np.minimum(held_over, MOST_EVIDENCE), 0.0)])
-    constant, *slopes = log_odds(features, target).tolist() if decided else (0.0, 0.0, 0.0)
+    # Ratios of languages differ, as the target holds other shares of them than the corpus; those with enough texts have a constant of their own.
+    langs = [x for x, rows in held.assign(target=target).groupby("lang") if min(rows.target.sum(), (~rows.target).sum()) >= OWN_LEVEL]
+    features = np.column_stack([held.ratio, np.where(held_over >= 1, np.minimum(held_over, MOST_EVIDENCE), 0.0), *[(held.lang == x).astype(float) for x in langs]])
+    constant, *slopes = log_odds(features, target).tolist() if decided else [0.0] * (features.shape[1] + 1)
     weight = F.lit(constant) + F.lit(slopes[0]) * F.col("ratio") + F.lit(slopes[1]) * F.col("toxic")
+    if langs:
+        weight += F.coalesce(F.create_map(*[F.lit(x) for pair in zip(langs, slopes[2:]) for x in pair])[F.col("lang")], F.lit(0.0))
     uniform = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     keyed = scored.withColumn("weight", weight).withColumn("key", F.col("weight") - F.log(-F.log(uniform)))
-    keyed = work.put(keyed, "keys")
+    keyed = work.put(keyed.drop("lang"), "keys")
     work.drop("scores")
     # The number of target documents among those with words, as the weights expect it.
     share = 1 / (1 + F.exp(-F.col("weight"))) if decided else F.lit(1.0)
