@@ -203,6 +203,19 @@ _shape("synth_voter", "IN_VOTER", f"concat(CASE WHEN k % 2 = 0 THEN 'voter card
 _shape("synth_upi", "UPI_ID", f"concat(CASE WHEN k % 2 = 0 THEN 'upi ' ELSE 'see ' END, 'user', {_n(5, 1)}, '@okbank now')", f"concat('user', {_m(5, 1)}, '@okbank')", "k % 2 = 0")
 _shape("synth_vehicle", "IN_VEHICLE_REGISTRATION", f"concat('vehicle MH12AB', {_n(4, 7919)}, ' parked')", f"concat('MH12AB', {_m(4, 7919)})", "true")
 
+_shape("synth_demat", "DEMAT_DP_ID", f"concat(CASE WHEN k % 2 = 0 THEN 'DP IN3000' ELSE 'see IN3000' END, {_n(10, 104729)}, ' held')", f"concat('IN3000', {_m(10, 104729)})", "true")
+_shape("synth_uan", "EPF_UAN", f"concat(CASE k % 3 WHEN 0 THEN 'UAN: 10' WHEN 1 THEN 'provident fund 10' ELSE 'order 10' END, {_n(10, 104729)})", f"concat('10', {_m(10, 104729)})", "k % 3 < 2")
+_shape("synth_ckyc", "CKYC_NUMBER", f"concat(CASE WHEN k % 2 = 0 THEN 'CKYC 3' ELSE 'paid 3' END, {_n(13, 104729)}, '.')", f"concat('3', {_m(13, 104729)})", "k % 2 = 0")
+_shape("synth_folio", "MF_FOLIO_NUMBER", f"concat(CASE WHEN k % 2 = 0 THEN 'Folio 1' ELSE 'page 1' END, {_n(8, 7919)}, '/', {_n(2, 7)}, ' units')", f"concat('1', {_m(8, 7919)}, '/', {_m(2, 7)})", "k % 2 = 0")
+_shape("synth_licence", "DRIVING_LICENSE", f"concat(CASE k % 3 WHEN 0 THEN 'MH-12-2011-' WHEN 1 THEN 'MH12 2011' ELSE 'MH1-2011-' END, {_n(7, 7919)}, ' valid')", f"concat(CASE c_custkey % 3 WHEN 0 THEN 'MH-12-2011-' ELSE 'MH12 2011' END, {_m(7, 7919)})", "k % 3 < 2")
+_shape("synth_itr", "ITR_ACK_NUMBER", f"concat(CASE WHEN k % 2 = 0 THEN 'ITR acknowledgement 4' ELSE 'total 4' END, {_n(14, 104729)}, ' filed')", f"concat('4', {_m(14, 104729)})", "k % 2 = 0")
+_shape("synth_ration", "RATION_CARD_NUMBER", f"concat(CASE WHEN k % 2 = 0 THEN 'ration card RC' ELSE 'serial RC' END, {_n(8, 7919)}, ' issued')", f"concat('RC', {_m(8, 7919)})", "k % 2 = 0")
+_shape("synth_birth_forms", "IN_DATE_OF_BIRTH", "concat(CASE WHEN k % 2 = 0 THEN 'born on ' ELSE 'paid on ' END, CASE k % 3 WHEN 0 THEN '15-Aug-1990' WHEN 1 THEN 'Aug 15, 1990' ELSE '1990-08-15' END, ' there')", "CASE c_custkey % 3 WHEN 0 THEN '15-Aug-1990' WHEN 1 THEN 'Aug 15, 1990' ELSE '1990-08-15' END", "k % 2 = 0")
+_shape("synth_address_lines", "IN_ADDRESS", f"concat(CASE WHEN k % 2 = 0 THEN 'Permanent Address' ELSE 'IP address' END, '\n', {_n(3, 7)}, ' Mill Road\nNear the tank\n\nrest')", f"concat({_m(3, 7)}, ' Mill Road', chr(10), 'Near the tank')", "k % 2 = 0")
+_shape("synth_address_pipe", "IN_ADDRESS", f"concat('Address | GSTIN | ', {_n(3, 7)}, ' Beach Road, Chennai. Call me now')", f"concat({_m(3, 7)}, ' Beach Road, Chennai')", "true")
+_shape("synth_place_pin", "IN_ADDRESS", f"concat(CASE WHEN k % 2 = 0 THEN 'BHOPAL' ELSE 'NEFT' END, ' - 46', {_n(4, 7)})", f"concat('BHOPAL - 46', {_m(4, 7)})", "k % 2 = 0")
+_shape("synth_mobile_forms", "IN_MOBILE", f"concat(CASE k % 4 WHEN 0 THEN 'on +91 98' WHEN 1 THEN 'on 098' WHEN 2 THEN 'UPI/98' ELSE 'Rs 1,98' END, {_n(8, 7919)}, ' ok')", f"concat(CASE c_custkey % 4 WHEN 0 THEN '+91 98' ELSE '098' END, {_m(8, 7919)})", "k % 4 < 2")
+
 
 # --- values and codes
 
