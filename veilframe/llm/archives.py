@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm._shared import Workspace
+from veilframe.llm._shared import Workspace, lean
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_EACH = 4000  # of one archive
-ROWS_EACH = 500_000  # index rows that one merge task is meant to hold
+RECORDS_EACH, BYTES_EACH = 4000, 256 << 20  # of one archive, at most
+SMALL = BYTES_EACH // RECORDS_EACH  # bytes of payloads of which that many fit
+ROWS_EACH = 100_000  # index rows that one merge task is meant to hold
 EPOCH = "2024-01-01 00:00:00"
 
 
@@ -63,6 +64,8 @@ def write_archives(pages: DataFrame, path: str, work: Workspace, id_col: str = "
     """Writes one record per row under ``path``. Payloads below ``least`` bytes are always responses; null payloads are empty.
 
     Without ``ts_col`` a capture's time is EPOCH plus its id in seconds. Rows with a null id are responses and are not referred to.
+    Payloads of more than SMALL bytes go to archives of their own, with as many records as fit in BYTES_EACH by the longest of
+    them, so an archive is only longer if one record is; a record of 2 GB and more cannot be read back.
     """
     ts = F.col(ts_col) if ts_col else F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + F.coalesce(F.col(id_col), F.lit(0)))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"), ts.alias("ts"))
@@ -91,8 +94,11 @@ def write_archives(pages: DataFrame, path: str, work: Workspace, id_col: str = "
         F.lit(end),
         block,
     )
-    ordered = marked.sortWithinPartitions("key", "ts", "id").select(record.alias("value"))
-    ordered.write.option("lineSep", end * 2).option("maxRecordsPerFile", RECORDS_EACH).text(path)
+    longest = rows.filter(F.octet_length("payload") > SMALL).agg(F.max(F.octet_length("payload"))).first()[0]
+    sorts = [("small", F.octet_length("payload") <= SMALL, RECORDS_EACH)] + ([("large", F.octet_length("payload") > SMALL, max(1, BYTES_EACH // longest))] if longest else [])
+    for folder, own, most in sorts:
+        ordered = marked.filter(own).sortWithinPartitions("key", "ts", "id").select(record.alias("value"))
+        ordered.write.option("lineSep", end * 2).option("maxRecordsPerFile", most).text(f"{path}/{folder}")
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -144,7 +150,7 @@ def _index(full: bool):
 
 def read_archives(spark: SparkSession, path: str, full: bool = False) -> DataFrame:
     """The index of all archives under ``path``, one row per record; with ``full`` also the payload (empty for revisits)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(_index(full), INDEX + (", payload string" if full else ""))
 
 
@@ -206,25 +212,33 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     table = pa.Table.from_batches(held).combine_chunks()
     get = lambda c: table.column(c).to_pylist()
-    runs: dict[str, list[tuple]] = {}
-    for row, (run, seq, key, ts, i) in enumerate(zip(get("run"), get("seq"), get("key"), get("ts"), get("id"))):
-        runs.setdefault(run, []).append((seq, (key, ts, i is not None, i or 0, row)))
-    ordered = [[k for _, k in sorted(r)] for _, r in sorted(runs.items())]
-    order = [k[4] for k in LoserTree(ordered).merged()]
+    # A run's rows stand together and in their own order, which is that of the keys.
+    runs: list[list[tuple]] = []
+    last = None
+    for row, (run, key, ts, i) in enumerate(zip(get("run"), get("key"), get("ts"), get("id"))):
+        if run != last:
+            runs.append([])
+            last = run
+        runs[-1].append((key, ts, i is not None, i or 0, row))
+    order = [k[4] for k in LoserTree(runs).merged()]
     yield from table.take(pa.array(order, pa.int64())).to_batches(max_chunksize=10_000)
 
 
 def capture_histories(index: DataFrame, rows: int) -> DataFrame:
-    """The records of all runs in global order of URL key, time and id; ``rows`` is their number."""
+    """The records of all runs in global order of URL key, time and id; ``rows`` is their number.
+
+    A range gets its piece of each run, put together again by the place in the run; what a merge holds is the index rows of one range.
+    """
     parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_EACH))
-    return index.repartitionByRange(parts, "key", "ts", "id").mapInArrow(_merge, index.schema)
+    return index.repartitionByRange(parts, "key", "ts", "id").sortWithinPartitions("run", "seq").mapInArrow(lean(_merge), index.schema)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Writes the pages, reads the archives back and merges their indexes; one row per page, in order of the histories.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to; then url_key, captured_at, archive and the record's place in it.
-    Rows that repeat an id are records of their own; of equal payloads all rows with the largest id are responses.
+    Rows that repeat an id are records of their own; of equal payloads all rows with the largest id are responses. Null and empty
+    payloads are records of 0 bytes, null addresses have an empty key. An empty table gives an empty result; other columns are not read.
     """
     spark = pages.sparkSession
     work = Workspace(spark, "archives")

@@ -7,8 +7,9 @@ confidence bound of the odds in the languages a word stands in. Evidence of the
 
 N-grams of a text are not independent, so sums of logarithms overstate what they say. The log importance weight is the two ratios scaled
 to log odds of target text by a logistic fit on a held-out half of the labelled sample. Gumbel noise from a hash of the id is added and
-the k documents with the largest sums stay, a sample without replacement in proportion to the weights; k is the number of
-target documents that the weights expect. So a text that is clearly good or bad is decided by its weight, others by chance.
+the k documents with the largest sums stay, a sample without replacement in proportion to the weights. k is the caller's, or as many as it
+takes for the sample to hold all but LOSS of the held-out target texts. So a text that is clearly good or bad is decided by its weight, others
+by chance.
 
 Counts of the raw model cover all documents. Only the labelled rows are sampled, at most SAMPLE of them by a hash of their ids.
 """
@@ -33,8 +34,9 @@ SAMPLE = 20_000
 LEAST_TEXTS, LEAST_ODDS, Z = 3, 1.0, 2.0
 #: Lengths of the beginnings of words.
 STEM, LONGEST_STEM = 4, 12
-#: The most that evidence counts, in levels, and the shrinkage of the logistic fit.
-MOST_EVIDENCE, SHRINK = 2.0, 1e-4
+#: The most that evidence counts, in levels; the shrinkage of the logistic fit, and the rows of each kind that it takes to be labelled wrongly.
+MOST_EVIDENCE, SHRINK, UNSURE = 2.0, 1e-4, 0.1
+LOSS = 0.002
 #: Toxic and clean held-out texts that a language needs for a level of its own.
 OWN_LEVEL = 10
 HELD_PIECES = 200_000  # counted pieces that a task holds before it passes them on
@@ -209,7 +211,7 @@ def toxic_levels(held) -> tuple[float, dict[str, float]]:
 def log_odds(features: np.ndarray, target: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Coefficients (the first of a constant) of a logistic fit by damped Newton steps; what is aimed at stays off 0 and 1 by the number of rows."""
     n = target.sum()
-    aim = np.where(target, (n + 1) / (n + 2), 1 / (len(target) - n + 2))
+    aim = np.where(target, 1 - UNSURE / (n + 2 * UNSURE), UNSURE / (len(target) - n + 2 * UNSURE))
     scale = features.std(axis=0)
     scale[scale == 0] = 1
     x = np.column_stack([np.ones(len(features)), features / scale])
@@ -223,11 +225,11 @@ def log_odds(features: np.ndarray, target: np.ndarray, rounds: int = 100) -> np.
     return w / np.r_[1, scale]
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: str = "gumbel", lang_col: str = "lang", row_col: str | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: str = "gumbel", lang_col: str = "lang", row_col: str | None = None, k: int | None = None) -> DataFrame:
     """id, ratio, toxic, weight, key, kept for every input row, and ``row_col``, a key of rows, if there is one.
 
     toxic is the evidence over the level of the language, 0 below it; weight is in log odds. Texts without words (null, empty) have no
-    ratio and are not kept. If the labels hold no good text, or none to set against it, all others are. Repeated rows share one
+    ratio and are not kept. If the labels hold no good text, or none to set against it, all others are, or k of them by chance. Repeated rows share one
     key and stay or go together; labels that repeat an id count once. Null ids have no label, but a weight, and share their noise.
     Texts are read whole. Without a column of languages, all texts are of one. An empty table gives an empty result.
     """
@@ -251,7 +253,9 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     schema = f"id {dict(docs.dtypes)[id_col]}, lang string, " + "row long, " * bool(row_col) + "ratio double, evidence double"
     scored = work.put(source.mapInArrow(lean(_scores(ratio, marks)), schema), "scores")
 
-    held = scored.join(F.broadcast(chosen.filter(f"use = {HELD_OUT}")), F.col("id") == F.col("label_id")).filter("ratio is not null").select("lang", "ratio", "evidence", "quality", (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic")).toPandas()
+    uniform = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    noise = -F.log(-F.log(uniform))
+    held = scored.join(F.broadcast(chosen.filter(f"use = {HELD_OUT}")), F.col("id") == F.col("label_id")).filter("ratio is not null").select("lang", "ratio", "evidence", "quality", (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"), noise.alias("noise")).toPandas()
     held = held.astype({"toxic": bool})
     common, own = toxic_levels(held)
     toxic_level = F.coalesce(F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.col("lang")], F.lit(common)) if own else F.lit(float(common))
@@ -267,13 +271,14 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     weight = F.lit(constant) + F.lit(slopes[0]) * F.col("ratio") + F.lit(slopes[1]) * F.col("toxic")
     if langs:
         weight += F.coalesce(F.create_map(*[F.lit(x) for pair in zip(langs, slopes[2:]) for x in pair])[F.col("lang")], F.lit(0.0))
-    uniform = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = scored.withColumn("weight", weight).withColumn("key", F.col("weight") - F.log(-F.log(uniform)))
+    keyed = scored.withColumn("weight", weight).withColumn("key", F.col("weight") + noise)
     keyed = work.put(keyed.drop("lang"), "keys")
     work.drop("scores")
-    # The number of target documents among those with words, as the weights expect it.
-    share = 1 / (1 + F.exp(-F.col("weight"))) if decided else F.lit(1.0)
-    k = round(keyed.filter("ratio is not null").agg(F.coalesce(F.sum(share), F.lit(0.0))).first()[0])
+    if k is None and decided:
+        keys = constant + features @ np.array(slopes) + held.noise.to_numpy()
+        k = keyed.filter(F.col("key") >= float(np.quantile(keys[target], LOSS, method="lower")) - 1e-9).count()
+    elif k is None:
+        k = keyed.filter("key is not null").count()
     cut = kth_largest(keyed.select("key"), "key", k)
     kept = F.col("key").isNotNull() & (F.col("key") >= F.lit(cut)) if cut is not None else F.lit(False)
     out = keyed.select(F.col("id").alias(id_col), "ratio", "toxic", "weight", "key", *([F.col("row").alias(row_col)] if row_col else []))

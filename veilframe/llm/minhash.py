@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with fewer than five words have one shingle, the whole sequence; texts without words (null, empty) have none and link
     with nothing. Links are transitive in component_id, the smallest id reachable; kept marks it. Repeated rows of an id get
-    the same result, rows that share an id but not a text each that of their text. Rows without an id get no component and are kept.
+    the same result, rows that share an id but not a text each that of their text; with ``row_col`` only one row of a component is kept. Rows without an id get no component and are kept.
     An empty table gives an empty result. Texts are read whole; other columns of the input are not read.
     """
     spark = docs.sparkSession
@@ -358,13 +358,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work.drop("sized", "grouped", "group-known", "links", "links2")
     least = labels.join(classes.select("id", "rep"), "id")
     least = work.put(least.select("id", "component", "rep"), "least")
-    smallest = least.join(least.groupBy("component").agg(F.min("rep").alias("smallest")), "component").select("id", "smallest")
-    resolved = classes.select("id", "rep", "fp1", "fp2").join(smallest.hint("merge"), "id", "left").select("fp1", "fp2", F.coalesce("smallest", "rep").alias("component"))
+    smallest = least.join(least.groupBy("component").agg(F.min("rep").alias("smallest")), "component").select("id", F.col("component").alias("node"), "smallest")
+    resolved = classes.select("id", "rep", "fp1", "fp2").join(smallest.hint("merge"), "id", "left")
+    resolved = resolved.select("fp1", "fp2", F.coalesce("smallest", "rep").alias("component"), *([F.coalesce("node", "id").alias("node")] if row_col else []))
     resolved = work.put(resolved, "resolved")
     work.drop("classes", "labels", "labels2", "least")
     row = ["row"] if row_col else []
     out = sk.select("id", *row, "n", "fp1", "fp2").join(resolved.hint("merge"), ["fp1", "fp2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), *([F.col("row").alias(row_col)] if row_col else []))
-    kept = F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))
-    return out.withColumn("kept", kept).select(id_col, "n_shingles", "component_id", "kept", *([row_col] if row_col else []))
+    out = out.withColumn("component", F.when(F.col("id").isNotNull(), component)).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
+    if row_col:
+        # Of the rows that repeat the smallest id of a component one is kept; components of different texts may share an id.
+        out = work.put(out.select("id", "row", "n", "component", "node", "kept"), "rows")
+        first = out.filter("kept and id is not null and node is not null").groupBy("node").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+        out = out.join(first.hint("merge"), "row", "left").withColumn("kept", F.col("kept") & (F.col("id").isNull() | F.col("node").isNull() | F.coalesce("first", F.lit(False))))
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept"]
+    return out.select(*columns, *([F.col("row").alias(row_col)] if row_col else []))

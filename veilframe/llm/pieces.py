@@ -127,10 +127,14 @@ class PieceModel:
 
     @classmethod
     @functools.lru_cache(maxsize=4)
+    def of(cls, data: bytes) -> PieceModel:
+        """The model of a file's bytes; a Python worker builds it once for all its tasks."""
+        return cls(data)
+
+    @classmethod
     def load(cls, path: str) -> PieceModel:
-        """The model in a file; a Python worker reads it once for all its tasks."""
         with open(path, "rb") as f:
-            return cls(f.read())
+            return cls.of(f.read())
 
     def _index(self, bits: int = 20) -> None:
         """A hash table of the pairs with linear probing; the probes of the longest chain are counted."""
@@ -304,8 +308,12 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     schema = T.StructType(fields)
 
+    # The file is the driver's; workers get its bytes, of a size that the vocabulary fixes.
+    with open(model_path, "rb") as f:
+        data = docs.sparkSession.sparkContext.broadcast(f.read())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel.load(model_path)
+        model = PieceModel.of(data.value)
         for batch in batches:
             for part in byte_slices(batch, 1):
                 split = [model.split(t or "") for t in part.column(1).to_pylist()]

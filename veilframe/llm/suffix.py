@@ -362,9 +362,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         again = parts.filter("alone").join(different.filter("n > 1").select("grp", "part").hint("merge"), ["grp", "part"])
         spans = spans.union(work.put(again.select("id", "s", (F.col("s") + F.length("bytes")).alias("e")), f"again{level}"))
         groups = different.groupBy("grp").agg((F.count("*") > most_runs).alias("hot"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-        left = different.join(groups.hint("merge"), "grp").select("rep.id", "grp", (F.col("n") == 1).alias("alone"), "hot", "rep.s", "bytes")
+        left = different.join(work.put(groups, f"groups{level}").hint("merge"), "grp").select("rep.id", "grp", (F.col("n") == 1).alias("alone"), "hot", "rep.s", "bytes")
         pieces = work.put(left, f"pieces{level + 1}")
-        work.drop(f"pieces{level}", f"parts{level}", f"different{level}")
+        work.drop(f"pieces{level}", f"parts{level}", f"different{level}", f"groups{level}")
     by_text = work.put(spans.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
     work.drop("whole", *(f"{x}{k}" for k in range(len(WIDTHS) + 1) for x in ("pieces", "sorted", "again")))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if full else "")
