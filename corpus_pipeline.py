@@ -38,10 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row = unused_name(docs, "_row")
     rows = Workspace(spark, "near-dedup").keyed(docs, "rows", row)
-    decided = near_duplicates(rows, row_col=row).filter("kept")
-    # Only a repeated id leaves a component more than one row; rows that link with nothing are components of their own.
-    single = F.col("component_id").isNull() | (F.col("n_shingles") == 0)
-    kept = decided.select(row, "component_id", F.when(single, F.col(row)).alias("alone")).groupBy("component_id", "alone").agg(F.min(row).alias(row)).select(row)
+    kept = near_duplicates(rows, row_col=row).filter("kept").select(row)
     return rows.join(kept.hint("merge"), row, "left_semi").select(docs.columns)
 
 
