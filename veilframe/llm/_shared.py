@@ -59,7 +59,7 @@ class Workspace:
             p.getFileSystem(conf).delete(p, True)
 
 
-def range_sorted(df: DataFrame, order: list, work: Workspace, tag: str, rows_each: int = 10_000, most: int = 10_000) -> DataFrame:
+def range_sorted(df: DataFrame, order: list, work: Workspace, tag: str, rows_each: int = 50_000, most: int = 10_000) -> DataFrame:
     """A written copy of df in one global order, with ``part``, the number of a row's range: at most ``most`` ranges of about ``rows_each`` rows."""
     parts = max(1, min(most, -(-df.count() // rows_each)))
     return work.put(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), tag)
