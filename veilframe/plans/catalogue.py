@@ -340,14 +340,13 @@ def known_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("k", "f.entity_type", "f.s", "f.e")
 
 
-@query("""WITH c AS (SELECT conv_id, CAST(min(turn) AS BIGINT) AS first, CAST(max(turn) AS BIGINT) AS last FROM conversations GROUP BY conv_id)
-SELECT conv_id, turn, CASE WHEN turn = first THEN 4 ELSE 0 END AS s FROM c, LATERAL (SELECT unnest([first, last]) AS turn) WHERE first < last""")
+@query("SELECT conv_id, turn, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN 4 ELSE 0 END AS s FROM conversations")
 def conversation_local_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name that one message of a conversation gives away by a title is masked in its other messages."""
     from veilframe.streaming.chat import local_sweep
 
     w = Window.partitionBy("conv_id")
-    msgs = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.min("turn").over(w).alias("first"), F.max("turn").over(w).alias("last")).filter("first < last and turn in (first, last)")
+    msgs = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.min("turn").over(w).alias("first"))
     name = F.concat(F.lit("Ravi Kumar"), F.translate((F.col("conv_id") % 100).cast("string"), "0123456789", "abcdefghij"))
     msgs = msgs.select("conv_id", "turn", F.struct("conv_id", "turn").alias("id"), F.when(F.col("turn") == F.col("first"), F.concat(F.lit("Mr. "), name, F.lit(" here"))).otherwise(F.concat(F.upper(name), F.lit(" wrote again"))).alias("text"))
     swept = local_sweep(detect(msgs, types=["PERSON"]), "conv_id", "id")
