@@ -171,10 +171,10 @@ def aadhaar_verhoeff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), verhoeff(digits).alias("valid"))
 
 
-@query(f"WITH {_SYNTH} SELECT k, CAST(CASE k % 8 WHEN 2 THEN 0.5 ELSE 0.15 END AS DOUBLE) AS score FROM texts WHERE k % 8 IN (2, 3)")
+@query(f"WITH {_SYNTH} SELECT k, CAST(CASE k % 8 WHEN 2 THEN 0.5 ELSE 0.15 END AS DOUBLE) AS score FROM texts WHERE k % 8 IN (1, 2, 3, 6)")
 def account_context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = synth(spark, sf_dir).filter("k % 8 IN (2, 3)").select("k", "text")
-    return exploded(detect(texts, types=["BANK_ACCOUNT_NUMBER"], threshold=0.0), "k").select("k", F.round("score", 4).alias("score"))
+    """Runs of digits that may be account numbers, in texts of all kinds; only one kind says so."""
+    return exploded(detect(synth(spark, sf_dir).select("k", "text"), types=["BANK_ACCOUNT_NUMBER"], threshold=0.0), "k").select("k", F.round("score", 4).alias("score"))
 
 
 def _shape(name: str, entity_type: str, text: str, sql_text: str, expected: str, source: str = "customer", key: str = "c_custkey") -> None:
