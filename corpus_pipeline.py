@@ -16,7 +16,7 @@ from veilframe.llm.importance import resample
 from veilframe.llm.minhash import near_duplicates
 from veilframe.llm.mixing import mixed_documents
 from veilframe.llm.pieces import encode_documents
-from veilframe.llm.suffix import remove_repeats
+from veilframe.llm.suffix import cut_repeats
 
 
 #: Bytes of the strings that the pipeline removes: passages of just over 50 words have 285 bytes and more.
@@ -44,12 +44,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of REPEATED bytes that stand anywhere else too are cut out of the texts; every document stays, n_chars is counted again."""
-    row, text = unused_name(docs, "_row"), unused_name(docs, "_kept")
-    rows = Workspace(spark, "suffix-dedup").keyed(docs, "rows", row)
-    cut = remove_repeats(rows, id_col=row, length=REPEATED, full=True).select(row, F.col("kept_text").alias(text))
-    joined = rows.drop("text").join(cut.hint("merge"), row)
-    columns = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
-    return joined.select(*[columns[c].alias(c) if c in columns else joined[c] for c in docs.columns])
+    row = unused_name(docs, "_row")
+    cut = cut_repeats(Workspace(spark, "suffix-dedup").keyed(docs, "rows", row), row, length=REPEATED)
+    return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else cut[c] for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """The pipeline, stage by stage, and the SQL of the operators that have it."""
 
 import hashlib
+import random
 import re
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 
@@ -11,7 +14,9 @@ sentencepiece = pytest.importorskip("sentencepiece")
 from oracle import same_rows  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from veilframe.llm._shared import shared_dir  # noqa: E402
 from veilframe.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
+from veilframe.llm.suffix import remove_repeats  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -139,3 +144,26 @@ def test_rows_without_an_id_keep_their_columns_through_all_stages(spark, tmp_pat
             words = {s: sum(80 for r in out if r.source == s) for s in "ab"}
             assert abs(words["a"] - 6400 / 3) <= 80 and abs(words["b"] - 12800 / 3) <= 80
     assert nulls["suffix_dedup"] == nulls["near_dedup"] > 0 and nulls["pieces"] == nulls["mixing"] > 0
+
+
+def test_dedup_stages_leave_one_copy_of_the_texts(spark, tmp_path):
+    """What a stage's folder still holds when its result is written, against its input."""
+    rng, shared = random.Random(3), Path(urlparse(shared_dir(spark)).path)
+    text = lambda: " ".join(f"{rng.randrange(10**6)}" for _ in range(400))
+    spark.createDataFrame([(k, text(), "en", "s", 1) for k in range(300)], DOCS).write.option("compression", "zstd").parquet(f"{tmp_path}/docs")
+    held = lambda at: {p: p.stat().st_size for p in at.rglob("*.parquet")}
+    docs, copy = spark.read.parquet(f"{tmp_path}/docs"), sum(held(tmp_path).values())
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.suffix_dedup):
+        before = held(shared)
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{stage.__name__}")
+        assert copy / 2 < sum(n for p, n in held(shared).items() if p not in before) < 1.2 * copy
+
+
+def test_suffix_dedup_cuts_the_texts_as_the_operator_does(spark):
+    passage = "".join(f"ä{j}" for j in range(200))
+    rows = [(1, passage, "en", "s", 1), (1, "x" + passage[1:], "en", "s", 1), (None, "y" * 251, "de", None, None), (2, None, None, "t", 1), (3, "", "en", "t", 1), (4, "short", "en", "t", 1)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], DOCS + ", _spans long")
+    left = {r.doc_id: r.kept_text for r in remove_repeats(docs, id_col="_spans", length=corpus_pipeline.REPEATED, full=True).withColumnRenamed("_spans", "doc_id").collect()}
+    assert len(left[0]) < 10 and left[2] == "" and left[5] == "short"
+    got = corpus_pipeline.suffix_dedup(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[-1]) == [(i, left[k], lang, source, len(left[k]), k) for k, (i, _, lang, source, _) in enumerate(rows)]

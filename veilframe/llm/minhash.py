@@ -370,6 +370,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if row_col:
         # Of the rows that repeat the smallest id of a component one is kept; components of different texts may share an id.
         out = work.put(out.select("id", "row", "n", "component", "node", "kept"), "rows")
+        work.drop("sketch", "resolved")
         first = out.filter("kept and id is not null and node is not null").groupBy("node").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
         out = out.join(first.hint("merge"), "row", "left").withColumn("kept", F.col("kept") & (F.col("id").isNull() | F.col("node").isNull() | F.coalesce("first", F.lit(False))))
     columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept"]
